@@ -5,23 +5,136 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orrery.llm import minhash
+from orrery.llm import minhash, mixing, packing, quality, records, repeats, search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = search.quantized(_table(spark, sf_dir, "embeddings"))
+    return search.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return records.token_records(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_search": op1_search,
+        "op3_quality": op3_quality,
         "op4_minhash": op4_minhash,
+        "op5_toxicity": op5_toxicity,
+        "op6_records": op6_records,
+        "op8_packing": op8_packing,
+        "op9_mixing": op9_mixing,
+        "op10_repeats": op10_repeats,
     }
 
 
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all({x}, '[^\\x20\\x09-\\x0D]+')"
+
+OP1 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+OP9 = f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len({_WORDS.format(x="coalesce(text, '')")}) AS BIGINT) AS size,
+    md5('9:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS perm
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS sid
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE sid % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, words * 2.0::DOUBLE AS cap FROM s
+), l AS (
+  SELECT *, (1.5::DOUBLE * sum(words) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+    / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), t AS (
+  SELECT source, words AS source_size, least(weight * max(level) OVER (), cap) AS target FROM l
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 1e-6) AS BIGINT) AS quota,
+    CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.perm ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS pos
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  greatest(0, least(size, quota - pos)) + greatest(0, least(size, quota - pos - source_size)) AS taken
+FROM p
+"""
+
+OP3 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format(x="coalesce(text, '')")} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents
+), n AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    len(list_filter(w, lambda x: list_contains([{", ".join(f"'{x}'" for x in quality.STOP_WORDS)}], lower(x)))) AS n_stop_words,
+    len(list_filter(w, lambda x: lower(x) <> upper(x))) AS n_letter_words
+  FROM d
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)
+), rep AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM win) WHERE n > 1
+), r AS (SELECT doc_id, count(*) AS n_repeat_words FROM rep GROUP BY doc_id),
+j AS (
+  SELECT n.*, coalesce(r.n_repeat_words, 0) AS n_repeat_words,
+    n_words < 20 OR 100 * coalesce(r.n_repeat_words, 0) > 30 * n_words AS base_failed
+  FROM n LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND word_chars >= 2.0 * n_words AND word_chars <= 14.0 * n_words AND n_symbols <= 0.1 * n_words
+    AND n_stop_words >= 0.02 * n_words AND n_dup_lines <= 0.5 * n_lines AND n_letter_words >= 0.6 * n_words AS kept
+FROM j
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_search": OP1, "op3_quality": OP3, "op9_mixing": OP9}
