@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import minhash, mixing, packing, quality, records, repeats, search, toxicity
+from orrery.llm import licenses, minhash, mixing, packing, quality, records, repeats, search, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -38,6 +43,10 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -51,16 +60,25 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_search": op1_search,
+        "op2_urls": op2_urls,
         "op3_quality": op3_quality,
         "op4_minhash": op4_minhash,
         "op5_toxicity": op5_toxicity,
         "op6_records": op6_records,
+        "op7_licenses": op7_licenses,
         "op8_packing": op8_packing,
         "op9_mixing": op9_mixing,
         "op10_repeats": op10_repeats,
+        "pipeline": pipeline,
     }
 
 
