@@ -37,3 +37,19 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.count() <= limit else df
+
+
+def drop_cut(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that no later step reads, and let Spark's cleaner see that the
+    shuffles behind them are out of use."""
+    import gc
+
+    for df in tables:
+        spark = df.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"{shared_dir(spark).split(':')[-1].rstrip('/')}/orrery-" in name:
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
