@@ -13,8 +13,9 @@ and leaves out positions whose rank is unique. Three things keep that affordable
   with all windows that they stand for;
 * the second round pairs an anchor's name with that of everything its windows cover. If all places
   of an anchor agree there, the first place is the original and all windows of the others are
-  repeats. Only where places of one anchor differ, the third round names the single windows by the
-  pair (first 64 bytes, last 64 bytes) and compares them.
+  repeats. Only where places of one anchor differ, the third round compares their single windows:
+  byte by byte among the (few) differing contexts of a name, and by the pair of names (first 64
+  bytes, last 64 bytes) where a name has very many of them.
 
 Frequent passages never gather in one task: each round is a grouped minimum or count, combined
 before its shuffle, and a join that adaptive execution can split.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.text import mix64, prefix_hash, span_hash
-from orrery.plans.storage import cut, small_side
+from orrery.plans.storage import cut, drop_cut, small_side
 
 FIRST, SECOND = 32, 64
 #: Bytes of a text that are looked at together; longer texts go in overlapping pieces.
@@ -36,6 +37,11 @@ PIECE = 1 << 22
 #: Rows of an outgoing Arrow batch, about.
 FLUSH = 200_000
 _LAST = 2**63 - 1
+#: Repeated anchor names that go to the tasks as a sorted array (32 MB); more are joined.
+FILTER_NAMES = 4_000_000
+#: Differing contexts of one anchor name that are compared in one task (some 50 MB); names with
+#: more have their windows compared by name.
+MAX_WAYS = 8192
 
 
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -70,10 +76,12 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc (ids, those without one last), th (hash of the text, so that rows that share an id but
-    not the text stay apart) and text."""
+    """doc (ids, those without one last), th (0; where ids repeat, the hash of the text, so that
+    rows that share an id but not the text stay apart) and text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__th": F.xxhash64(text), "__text": text})
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    unique = docs.groupBy(doc.alias("d")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return docs.withColumns({"__doc": doc, "__th": F.lit(0).cast("long") if unique else F.xxhash64(text), "__text": text})
 
 
 def _column(batch: pa.RecordBatch, name: str):
@@ -108,47 +116,118 @@ def _flushed(batches, make, names, types):
         yield out()
 
 
-def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
+def _names(rows: DataFrame, length: int) -> DataFrame:
+    """(k): the names of all anchors."""
+
     def run(batches):
+        for b in batches:
+            held, size = [], 0
+            for t in _column(b, "__text").cast(pa.binary()):
+                held.append(anchors(_bytes(t), length)[0])
+                size += len(held[-1])
+                if size >= FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["k"])
+                    held, size = [], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["k"])
+
+    return rows.select("__text").mapInArrow(run, "k long")
+
+
+def _places(rows: DataFrame, often: DataFrame, length: int) -> DataFrame:
+    """(doc, th, k, c, ab) of the anchors whose name is in ``often``: name, context, and
+    128 * (first window's start) + (number of windows - 1). Up to FILTER_NAMES names go to the
+    tasks as a sorted array (8 bytes each); more are joined."""
+    spark = rows.sparkSession
+    few = often.count() <= FILTER_NAMES
+    known = None
+    if few:
+        got = often.toArrow().column(0).to_numpy()
+        known = spark.sparkContext.broadcast(np.sort(got))
+
+    def run(batches):
+        names = known.value.view() if few else None
+
         def make(data, _, __):
             name, context, a, b = anchors(data, length)
-            return name.view(np.int64), context.view(np.int64), a, b
+            k = name.view(np.int64)
+            if names is not None:
+                at = np.minimum(np.searchsorted(names, k), max(len(names) - 1, 0))
+                ok = names[at] == k if len(names) else np.zeros(len(k), bool)
+                k, context, a, b = k[ok], context[ok], a[ok], b[ok]
+            return k, context.view(np.int64), a * 128 + (b - a)
+
+        yield from _flushed(batches, make, ["doc", "th", "k", "c", "ab"], [np.int64] * 5)
 
-        yield from _flushed(batches, make, ["doc", "th", "k", "c", "a", "b"], [np.int64] * 4 + [np.int32] * 2)
+    made = rows.select("__doc", "__th", "__text").mapInArrow(run, "doc long, th long, k long, c long, ab long")
+    return made if few else made.join(often, "k", "left_semi").select("doc", "th", "k", "c", "ab")
 
-    return rows.select("__doc", "__th", "__text").mapInArrow(run, "doc long, th long, k long, c long, a int, b int")
 
+def _contexts(rows: DataFrame, length: int) -> DataFrame:
+    """(k, doc, th, a, context): the bytes that the windows of a text's listed anchors cover
+    (column ``parts``: array of (k, ab))."""
 
-def _anchor_names(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
-        for x in _anchor_rows_batches(batches, length):
-            yield pa.RecordBatch.from_arrays([x], ["k"])
+        for b in batches:
+            texts = _column(b, "__text").cast(pa.binary())
+            docs, hashes, parts = (_column(b, c) for c in ("__doc", "__th", "parts"))
+            out, size = [], 0
+            for i in range(b.num_rows):
+                data, doc, th = texts[i].as_py(), docs[i].as_py(), hashes[i].as_py()
+                v = parts[i].values
+                for k, ab in zip(v.field(0).to_pylist(), v.field(1).to_pylist(), strict=True):
+                    a = ab >> 7
+                    out.append((k, doc, th, a, data[a : a + (ab & 127) + length]))
+                if len(out) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _CONTEXT, strict=True)], ["k", "doc", "th", "a", "context"])
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _CONTEXT, strict=True)], ["k", "doc", "th", "a", "context"])
 
-    return rows.select("__text").mapInArrow(run, "k long")
+    return rows.select("__doc", "__th", "__text", "parts").mapInArrow(run, "k long, doc long, th long, a int, context binary")
 
 
-def _anchor_rows_batches(batches, length):
-    for b in batches:
-        held, size = [], 0
-        for t in _column(b, "__text").cast(pa.binary()):
-            name = anchors(_bytes(t), length)[0]
-            held.append(name)
-            size += len(name)
-            if size >= FLUSH:
-                yield pa.array(np.concatenate(held).view(np.int64))
-                held, size = [], 0
-        if size:
-            yield pa.array(np.concatenate(held).view(np.int64))
+_CONTEXT = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+
+def _later_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """(doc, th, s, e): of the windows in ``contexts`` those that an earlier one equals."""
+
+    def run(batches):
+        at, seen = None, set()
+        for b in batches:
+            out = []
+            for k, doc, th, a, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != at:
+                    at, seen = k, set()
+                run_from = None
+                for j in range(len(context) - length + 1):
+                    w = context[j : j + length]
+                    if w in seen:
+                        if run_from is None:
+                            run_from = j
+                        continue
+                    seen.add(w)
+                    if run_from is not None:
+                        out.append((doc, th, a + run_from, a + j - 1 + length))
+                        run_from = None
+                if run_from is not None:
+                    out.append((doc, th, a + run_from, a + len(context)))
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "th", "s", "e"])
+
+    dealt = contexts.repartition("k").sortWithinPartitions("k", "doc", "th", "a")
+    return dealt.mapInArrow(run, "doc long, th long, s int, e int")
 
 
 def _window_rows(rows: DataFrame, length: int) -> DataFrame:
-    """Names of the single windows of a text's listed anchors (column ``parts``: array of (a, b))."""
+    """Names of the single windows of a text's listed anchors (column ``parts``: array of (k, ab))."""
 
     def run(batches):
         def make(data, batch, k):
             parts = _column(batch, "parts")[k].values
-            a, b = (parts.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            n = b - a + 1
+            ab = parts.field(1).to_numpy(zero_copy_only=False)
+            a, n = ab >> 7, (ab & 127) + 1
             s = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             s.sort()
             h1, h2 = np.empty(len(s), np.uint64), np.empty(len(s), np.uint64)
@@ -166,32 +245,45 @@ def _window_rows(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("__doc", "__th", "__text", "parts").mapInArrow(run, "doc long, th long, h1 long, h2 long, s int")
 
 
-def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
-    """(doc, th, spans): for each text with repeats, the byte ranges [s, e) that start-earlier
-    strings cover; ranges may overlap."""
-    often = cut(_anchor_names(rows, length).groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "names")
-    places = cut(_anchor_rows(rows, length).join(small_side(often), "k", "left_semi").distinct(), "anchors")
-    classes = cut(
-        places.groupBy("k", "c").agg(F.min(F.struct("doc", "th", "a")).alias("f"), F.count("*").alias("n")), "classes"
-    )
-    ways = classes.groupBy("k").agg(F.count("*").alias("ways")).where("ways > 1").select("k")
-    later = (
-        places.join(classes.where("n > 1"), ["k", "c"])
-        .where("struct(doc, th, a) <> f")
-        .select("doc", "th", F.col("a").alias("s"), (F.col("b") + length).alias("e"))
-    )
-    unsure = places.join(classes.join(ways, "k", "left_semi").select("k", "c", "f"), ["k", "c"]).where("struct(doc, th, a) = f")
-    parts = cut(
-        unsure.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("parts")), "parts"
-    )
+def _listed(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Texts of ``rows`` that have ``places`` (doc, th, k, ab), with these in a column ``parts``."""
+    parts = cut(places.groupBy("doc", "th").agg(F.collect_list(F.struct("k", "ab")).alias("parts")), "parts")
     listed = parts.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), "parts")
     these = rows.join(small_side(listed.select("__doc", "__th")), ["__doc", "__th"], "left_semi").dropDuplicates(["__doc", "__th"])
-    windows = cut(_window_rows(these.join(listed, ["__doc", "__th"]), length), "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "th", "s")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    single = (
-        windows.join(first, ["h1", "h2"]).where("struct(doc, th, s) <> f").select("doc", "th", "s", (F.col("s") + length).alias("e"))
-    )
-    return later.union(single).groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return these.join(listed, ["__doc", "__th"])
+
+
+def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
+    """(doc, th, spans): for each text with repeats, the byte ranges [s, e) that start-earlier
+    strings cover; ranges may overlap. ``rows``: __doc, __th, __text."""
+    often = cut(_names(rows, length).groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "names")
+    places = cut(_places(rows, often, length), "places")
+    drop_cut(often)
+    place = F.struct("doc", "th", "ab")
+    keys = places.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(place).alias("f"))
+    judged = places.join(keys, "k").where("c0 <> c1 or struct(doc, th, ab) <> f")
+    judged = cut(judged.select("doc", "th", "k", "c", "ab", (F.col("c0") != F.col("c1")).alias("differs")), "judged")
+    drop_cut(places)
+    differing = judged.where("differs")
+    classes = differing.groupBy("k", "c").agg(F.min(place).alias("f"))
+    first = differing.join(classes, ["k", "c"]).withColumn("first", F.expr("struct(doc, th, ab) = f"))
+    first = cut(first.select("doc", "th", "k", "ab", "first"), "first")
+    reps = first.where("first").distinct()
+    ways = reps.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > MAX_WAYS).select("k")
+    hot = small_side(cut(ways, "ways"))
+    contexts = cut(_contexts(_listed(rows, reps.join(hot, "k", "left_anti")), length), "contexts")
+    found = _later_windows(contexts, length)
+    if not hot.isEmpty():
+        windows = cut(_window_rows(_listed(rows, reps.join(hot, "k", "left_semi")), length), "windows")
+        earliest = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "th", "s")).alias("f"), F.count("*").alias("n")).where("n > 1")
+        single = windows.join(earliest, ["h1", "h2"]).where("struct(doc, th, s) <> f")
+        found = found.union(single.select("doc", "th", "s", (F.col("s") + length).alias("e")))
+    start = F.shiftright("ab", 7).cast("int")
+    whole = judged.where("not differs").select("doc", "th", "ab").union(first.where("not first").select("doc", "th", "ab"))
+    whole = whole.select("doc", "th", start.alias("s"), (start + F.col("ab").bitwiseAND(127) + length).cast("int").alias("e"))
+    spans = cut(whole.union(found).groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    drop_cut(judged, first, contexts)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -206,7 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     if not SECOND <= length < 4096:
         raise ValueError("length must be from 64 to 4095")
     rows = _keyed(docs)
-    spans = cut(repeated_spans(rows.select("__doc", "__th", "__text"), length), "spans")
+    spans = repeated_spans(rows.select("__doc", "__th", "__text"), length)
     own = list(docs.columns)
     joined = rows.join(spans.toDF("__doc", "__th", "__spans"), ["__doc", "__th"], "left").select(*own, "__text", "__spans")
     schema = docs.select(*own).schema
