@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 SPARSE = "struct<size:bigint,indices:array<bigint>,values:array<double>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def dense(*columns: Column | str) -> Column:
     return F.array(*[F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in columns])
 

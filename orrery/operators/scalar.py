@@ -101,10 +101,17 @@ class StringIndexerModel(Stage):
         if self.input not in df.columns:
             return df
         checked_policy(self.handle_invalid)
-        pairs = [F.struct(F.lit(x).alias("k"), F.lit(float(i)).alias("v")) for i, x in enumerate(self.labels)]
-        table = F.map_from_entries(F.array(*pairs)) if pairs else F.create_map().cast("map<string,double>")
         key = F.col(self.input).cast("string")
-        index = F.when(key.isNotNull(), F.try_element_at(table, key))
+        if len(self.labels) <= 32:
+            index = F.lit(None).cast("double")
+            for i, x in enumerate(self.labels):
+                index = F.when(key == x, float(i)).otherwise(index)
+        else:
+            # the model's labels, as a table
+            rows = [(x, float(i)) for i, x in enumerate(self.labels)]
+            table = F.broadcast(df.sparkSession.createDataFrame(rows, "__label string, __index double"))
+            df = df.join(table, key == F.col("__label"), "left").drop("__label")
+            index = F.col("__index")
         meta = {"ml_attr": {"type": "nominal", "vals": [*self.labels, *["__unknown"] * (self.handle_invalid == "keep")], "name": self.output}}
         if self.handle_invalid == "skip":
             df = df.where(index.isNotNull())
@@ -112,7 +119,7 @@ class StringIndexerModel(Stage):
             index = F.coalesce(index, F.lit(float(len(self.labels))))
         else:
             index = F.coalesce(index, F.raise_error(F.concat(F.lit("unseen label: "), F.coalesce(key, F.lit("null")))).cast("double"))
-        return df.withColumn(self.output, index.alias(self.output, metadata=meta))
+        return df.withColumn(self.output, index.alias(self.output, metadata=meta)).drop("__index")
 
 
 def label_index(df: DataFrame, column: str, order: str = "frequencyDesc") -> DataFrame:

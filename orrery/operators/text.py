@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orrery.functions import vectors as V
+from orrery.functions.vectors import let
 from orrery.operators.stage import Fitter, Stage
 from orrery.operators.vector import merged
 from orrery.plans.storage import cut
@@ -40,9 +42,12 @@ class NGram(Stage):
     params = {"input": "tokens", "output": "ngrams", "n": 2}
 
     def apply(self, df: DataFrame) -> DataFrame:
-        count = F.size(self.input) - (self.n - 1)
-        grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(self.input, i, F.lit(self.n)), " "))
-        return df.withColumn(self.output, F.when(count >= 1, grams).otherwise(F.array().cast("array<string>")))
+        def grams(tokens: Column) -> Column:
+            count = F.size(tokens) - (self.n - 1)
+            one = lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(self.n)])
+            return F.when(count >= 1, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.array().cast("array<string>"))
+
+        return df.withColumn(self.output, let(F.col(self.input), grams))
 
 
 class StopWordsRemover(Stage):
@@ -91,16 +96,24 @@ def vocabulary(counts: DataFrame, n_docs: int, size: int = 1 << 18, min_df: floa
 
 
 class CountVectorizerModel(Stage):
-    params = {"input": "tokens", "output": "counts", "vocabulary": [], "min_tf": 1.0, "binary": False}
+    """Adds the sparse count vector of each row. Tokens meet the vocabulary in a join; ``row_id``
+    identifies rows."""
+
+    params = {"input": "tokens", "output": "counts", "row_id": "doc_id", "vocabulary": [], "min_tf": 1.0, "binary": False}
 
     def apply(self, df: DataFrame) -> DataFrame:
-        table = F.map_from_entries(F.array(*[F.struct(F.lit(t).alias("k"), F.lit(i).cast("long").alias("v")) for i, t in enumerate(self.vocabulary)]))
-        known = F.filter(F.transform(self.input, lambda t: F.try_element_at(table, t)), lambda i: i.isNotNull())
-        v = merged(F.transform(known, lambda i: F.struct(i.alias("i"), F.lit(1.0).alias("x"))), len(self.vocabulary))
-        least = F.lit(float(self.min_tf)) if self.min_tf >= 1 else F.lit(self.min_tf) * F.size(self.input)
-        kept = F.filter(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("x")), lambda e: e.x >= least)
-        out = F.struct(v["size"].alias("size"), F.transform(kept, lambda e: e.i).alias("indices"), F.transform(kept, lambda e: F.lit(1.0) if self.binary else e.x).alias("values"))
-        return df.withColumn(self.output, out)
+        spark = df.sparkSession
+        words = F.broadcast(spark.createDataFrame(list(zip(self.vocabulary, range(len(self.vocabulary)), strict=True)), "term string, i long"))
+        least = F.lit(float(self.min_tf)) if self.min_tf >= 1 else F.lit(self.min_tf) * F.col("__size")
+        tokens = df.select(F.col(self.row_id).alias("__row"), F.size(self.input).alias("__size"), F.explode(self.input).alias("term"))
+        counts = tokens.join(words, "term").groupBy("__row", "__size", "i").agg(F.count("*").cast("double").alias("x")).where(F.col("x") >= least)
+        e = F.array_sort(F.collect_list(F.struct("i", F.lit(1.0).alias("x") if self.binary else F.col("x"))))
+        rows = counts.groupBy("__row").agg(e.alias("__e"))
+        empty = F.array().cast("array<struct<i:bigint,x:double>>")
+        out = V.let(F.coalesce("__e", empty), lambda e: F.struct(
+            F.lit(len(self.vocabulary)).cast("long").alias("size"), F.transform(e, lambda y: y.i).alias("indices"), F.transform(e, lambda y: y.x).alias("values")
+        ))
+        return df.join(rows, F.col(self.row_id) == F.col("__row"), "left").withColumn(self.output, out).drop("__row", "__e")
 
 
 class CountVectorizer(Fitter):
@@ -111,7 +124,7 @@ class CountVectorizer(Fitter):
     def learn(self, df: DataFrame) -> CountVectorizerModel:
         terms = vocabulary(term_counts(df, self.row_id, self.input), df.count(), self.size, self.min_df, self.max_df)
         words = [r.term for r in terms.orderBy("idx").toLocalIterator()]
-        return CountVectorizerModel(input=self.input, output=self.output, vocabulary=words, min_tf=self.min_tf, binary=self.binary)
+        return CountVectorizerModel(input=self.input, output=self.output, row_id=self.row_id, vocabulary=words, min_tf=self.min_tf, binary=self.binary)
 
 
 def inverse_document_frequency(entries: DataFrame, n_docs: int, min_doc_freq: int = 0) -> DataFrame:

@@ -262,10 +262,19 @@ def feature_hash(columns: dict[str, str], size: int = 1 << 18, categorical: tupl
 
 
 def merged(entries: Column, size: int) -> Column:
-    """A sparse vector from (i, x) entries; entries of one index add up."""
-    indices = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e.i)))
-    at = lambda k: F.aggregate(F.filter(entries, lambda e: e.i == k), F.lit(0.0), lambda a, e: a + e.x)
-    return F.struct(F.lit(size).cast("long").alias("size"), indices.alias("indices"), F.transform(indices, at).alias("values"))
+    """A sparse vector from (i, x) entries; entries of one index add up. One sort, then one pass."""
+
+    def runs(e: Column) -> Column:
+        n = F.size(e)
+        at = lambda k: F.get(e, k)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (at(k - 1).i != at(k).i))
+        return V.let(F.when(n > 0, starts).otherwise(F.array().cast("array<int>")), lambda s: F.struct(
+            F.lit(size).cast("long").alias("size"),
+            F.transform(s, lambda k: at(k).i).alias("indices"),
+            F.transform(s, lambda k, j: F.aggregate(F.sequence(k, F.coalesce(F.get(s, j + 1), n) - 1), F.lit(0.0), lambda a, m: a + at(m).x)).alias("values"),
+        ))
+
+    return V.let(F.array_sort(entries), runs)
 
 
 class FeatureHasher(Stage):
