@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orrery.functions.vectors import let
 from orrery.plans.storage import cut, small_side
 
 # Phrases of the base, with their labels.
@@ -56,12 +57,15 @@ def license_words(text: Column) -> Column:
     return F.filter(F.split(plain, _BREAK), lambda w: w != "")
 
 
-def grams(names: Column) -> Column:
-    """64-bit names of the 4-word grams of an array of words."""
-    for by in (1, 2):
+def grams(words: Column) -> Column:
+    """64-bit names of the 4-word grams of an array of words. Each step is bound once, so that
+    words are split and paired once however often the expression refers to them."""
+
+    def paired(names: Column, by: int) -> Column:
         n = F.greatest(F.size(names) - by, F.lit(0))
-        names = F.zip_with(F.slice(names, 1, n), F.slice(names, by + 1, n), lambda a, b: F.xxhash64(a, b))
-    return names
+        return F.zip_with(F.slice(names, 1, n), F.slice(names, by + 1, n), lambda a, b: F.xxhash64(a, b))
+
+    return let(words, lambda w: let(paired(w, 1), lambda p: paired(p, 2)))
 
 
 def _places(words: Column, text: Column, phrase: str) -> Column:
@@ -105,12 +109,13 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_max(every).cast("long").alias("last_word"),
         F.array_sort(base_labels).alias("base"),
     )
-    named = words.select("doc_id", "th", grams(F.col("words")).alias("grams"))
-    some = named.where(F.arrays_overlap("grams", F.array(*[F.lit(g) for g in known]))).distinct()
-    votes = some.select("doc_id", "th", F.posexplode("grams").alias("pos", "g")).join(F.broadcast(templates.drop("words")), "g")
+    # texts without any gram of a template give no rows; as a filter the test would be computed twice
+    fixed = F.array(*[F.lit(g) for g in known])
+    hit = let(grams(F.col("words")), lambda g: F.when(F.arrays_overlap(g, fixed), g))
+    votes = words.select("doc_id", "th", F.posexplode(hit).alias("pos", "g")).join(F.broadcast(templates.drop("words")), "g")
     key = ["doc_id", "th", "template"]
     diagonals = votes.groupBy(*key, "label", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.min("pos").alias("low"), F.max("pos").alias("high"), F.count("*").alias("votes")
+        F.min("pos").alias("low"), F.max("pos").alias("high"), F.countDistinct("pos").alias("votes")
     )
     order = Window.partitionBy(*key).orderBy("diagonal")
     step = F.when(F.col("diagonal") - F.lag("diagonal").over(order) > SLACK, 1).otherwise(0)
