@@ -12,10 +12,14 @@ With 32 bands of 4 registers a pair at similarity 0.75 shares no band with a pro
 at 0.8 of 5e-8.
 
 Groups of copies never become pairs. Texts with equal sets are one class with its smallest doc_id
-for a representative. In a band's bucket, members are compared with a few centres in turn; only
-members that are still in another component than the bucket's largest are compared with the
-members of other components, so each link between different texts is either found or implied by
-links that connect the same documents.
+for a representative. In a band's bucket, members are compared with its smallest one, the centre;
+links to centres join most of a group of near copies. Buckets that then still hold several
+components are mostly texts that share a passage. Their members get a second, finer sketch of
+fresh hash functions (110 bands of 8 registers, under which a pair at 0.75 shares no band with a
+probability of 1e-5, one at 0.4 shares one with 0.07). Members that share a finer band but no
+component are looked up in inverted indexes of their families, on full sets, without listing
+pairs. So each link between different texts is either found or implied by links that connect the
+same documents.
 """
 
 from __future__ import annotations
@@ -29,28 +33,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.components import connected_components
-from orrery.llm.text import shingle_set
+from orrery.llm.text import mix64, shingle_set
 from orrery.plans.storage import cut, small_side
 
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
+#: Bands for texts whose bucket holds several components after the comparison with its centre.
+FINE_BANDS, FINE_ROWS = 110, 8
+#: Shingles of an inverted index in which such texts are looked up, about.
+BLOCK_SHINGLES = 1_000_000
 #: SetSketch parameters: base, rate, and the largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65534
 _rng = np.random.Generator(np.random.PCG64(4))
-_MUL = _rng.integers(0, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = _rng.integers(0, 2**64, M, dtype=np.uint64)
+
+
+def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _rng.integers(0, 2**64, n, dtype=np.uint64)
+
+
+COARSE, FINE = _hash_family(M), _hash_family(FINE_BANDS * FINE_ROWS)
 #: A pair is left out unverified if the best similarity at or above the threshold is e**20 times
 #: less likely than the best of all.
 LOG_ODDS = 20.0
-#: Rounds of comparison with one centre for each bucket, before all open pairs of a bucket.
-CENTRE_ROUNDS = 3
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
-    """The SetSketch of a set of 64-bit hashes, as M unsigned 16-bit registers."""
-    low = np.full(M, 2**32 - 1, np.uint64)
-    for i in range(0, len(shingles), 2048):
-        part = ((shingles[i : i + 2048, None] ^ _XOR) * _MUL) >> np.uint64(32)
+def registers(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray] = COARSE) -> np.ndarray:
+    """The SetSketch of a set of 64-bit hashes: an unsigned 16-bit register for each hash function."""
+    times, flips = family
+    low = np.full(len(times), 2**32 - 1, np.uint64)
+    for i in range(0, len(shingles), 1024):
+        part = ((shingles[i : i + 1024, None] ^ flips) * times) >> np.uint64(32)
         np.minimum(low, part.min(axis=0), out=low)
     x = -np.log1p(-(low.astype(np.float64) + 0.5) / 2**32) / RATE
     return np.clip(np.floor(1 - np.log(x) / math.log(BASE)), 0, TOP).astype("<u2")
@@ -175,6 +187,87 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     )
 
 
+def _fine_links(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) between members of different labels in ``labelled`` (bucket, rep, k1, n_shingles,
+    label; the buckets that hold several labels).
+
+    Texts that share a finer band with texts of another label look for links in blocks. A block
+    holds the texts whose largest bucket is the same, so a family of near copies or of texts
+    around one passage is met as a whole; large buckets make several blocks. A block is held as
+    an inverted index of at most about a million shingles, a text is looked up in it, and only links leave a task: no
+    pairs are listed.
+    """
+    percent = round(100 * threshold)
+    sizes = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    largest = labelled.join(sizes, "bucket").groupBy("rep", "k1", "label").agg(F.max(F.struct("n", "bucket", "s")).alias("top"))
+    part = F.pmod(F.xxhash64("rep", "k1"), F.ceil(F.col("top.s") / BLOCK_SHINGLES).cast("long"))
+    texts = largest.select("rep", "k1", "label", F.xxhash64("top.bucket", part).alias("block"))
+    texts = cut(texts.join(sets, ["rep", "k1"]), "texts")
+
+    def sketch(batches):
+        for b in batches:
+            regs = [registers(np.frombuffer(x.as_buffer(), np.uint64), FINE) for x in b.column(4)]
+            keys = [np.frombuffer(r.tobytes(), f"S{2 * FINE_ROWS}") for r in regs]
+            halves = [np.frombuffer(k.tobytes(), "<u8").reshape(-1, 2 * FINE_ROWS // 8) for k in keys]
+            bands = np.arange(FINE_BANDS, dtype=np.uint64)
+            named = []
+            for h in halves:
+                x = mix64(bands + np.uint64(1))
+                for column in h.T:
+                    x = mix64(x ^ column)
+                named.append(x.view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(named, pa.list_(pa.int64()))], ["rep", "k1", "label", "block", "bands"])
+
+    banded = texts.select("rep", "k1", "label", "block", "set").mapInArrow(sketch, "rep long, k1 long, label long, block long, bands array<long>")
+    bands = cut(banded.select("rep", "k1", "label", "block", F.explode("bands").alias("band")), "fine")
+    sizes = bands.groupBy("band", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = bands.join(main.select("band", F.col("top.label").alias("main")), "band")
+    # the bands of a text mostly lead to the same few blocks
+    there = mixed.groupBy("band").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    asked = mixed.where("label <> main").select("band", "rep", "k1", "label").join(there, "band")
+    asked = asked.select("rep", "k1", "label", "blocks").distinct().withColumn("block", F.explode("blocks"))
+    asked = asked.select("rep", "k1", "label", "block").distinct().join(sets, ["rep", "k1"])
+    columns = ["block", "rep", "label", "set"]
+    blocks = asked.select("block").distinct()
+    held = texts.join(blocks, "block", "left_semi").select(F.lit(0).alias("kind"), *columns)
+    dealt = held.union(asked.select(F.lit(1).alias("kind"), *columns)).repartition("block").sortWithinPartitions("block", "kind")
+
+    def look_up(batches):
+        block, index = None, None
+        ids, labels, found = [], [], []
+        for b in batches:
+            out = []
+            for kind, at, rep, label, raw in zip(*(b.column(c).to_pylist() for c in ("kind", "block", "rep", "label", "set")), strict=True):
+                if at != block:
+                    block, index, ids, labels, found = at, None, [], [], []
+                mine = np.frombuffer(raw, np.uint64)
+                if kind == 0:
+                    ids.append(rep)
+                    labels.append(label)
+                    found.append(mine)
+                    continue
+                if index is None:
+                    size = np.array([len(x) for x in found])
+                    owner = np.repeat(np.arange(len(found)), size)
+                    every = np.concatenate(found)
+                    order = np.argsort(every, kind="stable")
+                    index = every[order], owner[order], size, np.array(labels), np.array(ids)
+                keys, owner, size, label_of, id_of = index
+                lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+                n = hi - lo
+                at_all = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                both = np.bincount(owner[at_all], minlength=len(size))
+                linked = (100 * both >= percent * (len(mine) + size - both)) & (label_of != label)
+                # one link to each other component is enough
+                _, first = np.unique(label_of[linked], return_index=True)
+                out.extend((rep, int(v)) for v in id_of[linked][first])
+            u, v = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return cut(dealt.mapInArrow(look_up, "u long, v long"), "links")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, n: int = 5) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, more columns ignored): doc_id, n_shingles,
     component_id (smallest doc_id reachable over links of at least ``threshold``) and kept.
@@ -197,6 +290,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, n: int = 5) -> Dat
     bands = reps.select(
         "rep",
         "k1",
+        "n_shingles",
         F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {width} + 1, {width})))")).alias("bucket"),
     )
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
@@ -207,42 +301,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, n: int = 5) -> Dat
         pairs = pairs.where("a <> b or ka <> kb").distinct()
         return cut(_confirmed(_plausible(pairs, reps, threshold), sets, threshold), "links")
 
-    found, labelled, open_buckets = None, members.withColumn("label", F.col("rep")), None
-    for k in range(CENTRE_ROUNDS + 1):
-        last = k == CENTRE_ROUNDS
-        rows = labelled if open_buckets is None else labelled.join(open_buckets, "bucket")
-        if k:
-            sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top")).select("bucket", F.col("top.label").alias("main"))
-            rows = rows.join(main, "bucket")
-        if not last:
-            chosen = rows if not k else rows.where("label = main")
-            order = F.col("rep") if not k else F.xxhash64(F.lit(k), "rep", "k1")
-            centre = chosen.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "rep", "k1", "label")).alias("c"))
-            pairs = (
-                rows.join(centre.select("bucket", F.col("c.rep").alias("b"), F.col("c.k1").alias("kb"), F.col("c.label").alias("lb")), "bucket")
-                .where("label <> lb")
-                .select(F.col("rep").alias("a"), F.col("k1").alias("ka"), "b", "kb")
-            )
-        else:
-            rest = rows.where("label <> main").select("bucket", F.col("rep").alias("a"), F.col("k1").alias("ka"), F.col("label").alias("la"), "main")
-            other = rows.select("bucket", F.col("rep").alias("b"), F.col("k1").alias("kb"), F.col("label").alias("lb"))
-            pairs = rest.join(other, "bucket").where("la <> lb and (lb = main or a < b)").select("a", "ka", "b", "kb")
-        new = links_of(pairs)
-        found = new if found is None else found.union(new)
-        if last:
-            break
-        comps = connected_components(found)
-        labelled = cut(
-            members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "k1", F.coalesce("component", "rep").alias("label")),
-            "labelled",
-        )
-        open_buckets = cut(
-            labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "open"
-        )
-        if open_buckets.isEmpty():
-            break
-    comps = connected_components(found) if last else comps
+    centre = members.groupBy("bucket").agg(F.min(F.struct("rep", "k1")).alias("c"))
+    to_centre = members.join(centre.select("bucket", F.col("c.rep").alias("b"), F.col("c.k1").alias("kb")), "bucket").select(
+        F.col("rep").alias("a"), F.col("k1").alias("ka"), "b", "kb"
+    )
+    comps = cut(connected_components(links_of(to_centre)), "components")
+    labelled = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "k1", "n_shingles", F.coalesce("component", "rep").alias("label"))
+    unsure = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    again = cut(labelled.join(unsure, "bucket", "left_semi"), "unsure")
+    more = _fine_links(again, sets, threshold)
+    if not more.isEmpty():
+        # the new links join whole components
+        label = again.select("rep", "label").distinct()
+        between = more.join(label.toDF("u", "lu"), "u").join(label.toDF("v", "lv"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+        joined = connected_components(between).toDF("label", "lowest")
+        every = reps.select("rep").distinct().join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("rep").alias("node"), F.coalesce("component", "rep").alias("label"))
+        comps = every.join(joined, "label", "left").select("node", F.coalesce("lowest", "label").alias("component"))
     named_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("component_id")
     )
