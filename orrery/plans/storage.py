@@ -53,3 +53,14 @@ def drop_cut(*tables: DataFrame) -> None:
     gc.collect()
     if tables:
         tables[0].sparkSession._jvm.System.gc()
+
+#: Rows of an Arrow batch that carries texts: some MB, instead of the default's 10,000 rows.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of a session that sends texts to Python workers; a lower setting of
+    the cluster stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= TEXT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
