@@ -17,8 +17,10 @@ attempt and renames it when complete: a lost executor leaves at most an unused f
 from __future__ import annotations
 
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,13 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from orrery.plans.storage import fresh_path
+from orrery.plans.storage import fresh_path, text_batches
 
 MASK_DELTA = 0xA282EAD8
-#: Words whose ids a Python worker remembers; beyond that it forgets all and starts anew.
-CACHED_WORDS = 400_000
+#: Words whose ids a Python worker remembers, at most; those not met for long are forgotten first.
+CACHED_WORDS = 900_000
 _NO_ID, _WIDE = 1, 2
-_tokenizers: dict[str, tuple] = {}
 
 
 def masked_crc(data: bytes) -> int:
@@ -79,35 +80,92 @@ def read_at(source, offset: int) -> tuple[int | None, np.ndarray]:
     return parse(next(frames(source)))
 
 
-def _tokenizer(path: str) -> tuple:
-    """The tokenizer, the ids of words seen so far, and whether ids fit 16 bits."""
-    if path not in _tokenizers:
+class WordEncoder:
+    """Ids of texts by the tokenizer of a file, each distinct word encoded once and remembered.
+
+    For tokenizers that lower-case, drop white space and split at the borders between letters and
+    other characters: no token then spans a blank or a line end. Words of letters only are single
+    pieces and go to the tokenizer's model as such (with their bytes in its byte alphabet); all
+    other words take the tokenizer's whole way.
+    """
+
+    def __init__(self, path: str) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        _tokenizers[path] = (t, {}, np.dtype("<u2" if t.get_vocab_size() <= 0x10000 else "<u4"))
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 0x10000 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.known = _Known(self, {})
+        self.ends = {c: self._whole([c])[0] for c in ".,"}
+        # the short way is open only if it gives what the whole way gives
+        probe = ["the", "Word", "Über", "éèñß", "x"]
+        self.short = all(self._piece(w) == ids for w, ids in zip(probe, self._whole(probe), strict=True))
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _piece(self, word: str) -> bytes | None:
+        """Ids of a word of letters, None for others."""
+        low = word.lower()
+        if not (word.isalpha() and low.isalpha()):
+            return None
+        if not low.isascii():
+            if "\u03a3" in word or not unicodedata.is_normalized("NFC", word):
+                return None
+            low = low.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(low)]).tobytes()
+
+    def ids_of(self, word: str) -> bytes:
+        """Ids of one word."""
+        ids = None
+        if self.short:
+            end = self.ends.get(word[-1:])
+            if end is None:
+                ids = self._piece(word)
+            else:
+                ids = self._piece(word[:-1])
+                ids = ids and ids + end
+        if ids is None:
+            ids = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return ids
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        for t in texts:
+            if len(self.known) > CACHED_WORDS // 2:
+                self.known = _Known(self, dict(self.known))
+            words = (t or "").replace("\n", " ").split(" ")
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.kind)
+
+
+class _Known(dict):
+    """Ids of the words met lately; words met before that are taken over from ``older``."""
+
+    def __init__(self, encoder: WordEncoder, older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.encoder, self.older = encoder, older
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encoder.ids_of(word)
+        self[word] = ids
+        return ids
+
+
+_encoders: dict[str, WordEncoder] = {}
 
 
 def encode(texts: Iterable[str | None], path: str) -> Iterator[np.ndarray]:
-    """Ids of whole texts. For tokenizers that drop white space, as those whose pre-tokenizer
-    matches no space: no token spans a blank or a line end, so each distinct word is encoded once."""
-    tokenizer, known, kind = _tokenizer(path)
-    split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    new = list({w for words in split for w in words} - known.keys())
-    if len(known) + len(new) > CACHED_WORDS:
-        known.clear()
-        new = list({w for words in split for w in words})
-    for at in range(0, len(new), 10_000):
-        some = new[at : at + 10_000]
-        for word, got in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, kind).tobytes()
-    get = known.__getitem__
-    for words in split:
-        yield np.frombuffer(b"".join(map(get, words)), kind)
+    """Ids of whole texts, with one encoder for each process."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path].encode(texts)
 
 
 def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2, parts: int | None = None) -> DataFrame:
@@ -115,6 +173,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int =
     Returns the table of parts: part, path, n_docs, n_ids. Documents without an id come first,
     null texts count as empty, repeated ids stand in the order of their texts."""
     spark = docs.sparkSession
+    text_batches(spark)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
