@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.plans.storage import small_side
+from orrery.plans.storage import small_side, text_batches
 
 # Insults that are terms even without labels, and words that mark context.
 SEED_TERMS = ("idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "loser", "losers", "pathetic", "worthless", "disgusting", "clown", "clowns")
@@ -40,6 +40,9 @@ STEMS = range(4, 8)
 SUPPORT = 0.004
 #: Terms of the lexicon at most: the size of the model, strongest evidence first.
 LEXICON = 4000
+#: Share of the toxic documents from which a pure term counts as common, and the least share of
+#: otherwise unexplained ones for which a term is taken in.
+COMMON, RARE = 0.05, 0.002
 #: Labelled rows of the bounded sample on which the logistic model's coefficients are fitted.
 SAMPLE_ROWS = 20_000
 #: Edits that a misspelled term may have, for terms of at least so many letters (stems: more).
@@ -246,6 +249,38 @@ def learn_lexicon(labelled: DataFrame) -> dict[tuple[str, bool], float]:
     return terms
 
 
+def cover(terms: dict[tuple[str, bool], float], rows: list[tuple[list[int], int]]) -> dict[tuple[str, bool], float]:
+    """The terms that explain the labels: greedily the one that covers most toxic documents that
+    no chosen term covers, while these outnumber its clean documents and are not just a few; then
+    all that are common (COMMON of the toxic documents) and pure. Words that only travel along in
+    copies of a toxic text explain nothing more and drop out; seed terms stay."""
+    names = list(terms)
+    toxic_of: dict[int, set[int]] = {}
+    clean_of = Counter()
+    n_toxic = 0
+    for i, (ids, y) in enumerate(rows):
+        n_toxic += y
+        for t in ids:
+            if y:
+                toxic_of.setdefault(t, set()).add(i)
+            else:
+                clean_of[t] += 1
+    chosen = {k: v for k, v in terms.items() if not k[1] and k[0] in SEED_TERMS}
+    pure = {t: docs for t, docs in toxic_of.items() if len(docs) > 20 * clean_of[t]}
+    chosen |= {names[t]: terms[names[t]] for t, docs in pure.items() if len(docs) >= max(3, COMMON * n_toxic)}
+    covered = set().union(*[docs for t, docs in toxic_of.items() if names[t] in chosen])
+    left = {t: docs - covered for t, docs in toxic_of.items()}
+    least = max(3, math.ceil(RARE * n_toxic))
+    while left:
+        t = max(left, key=lambda t: (len(left[t]) - 5 * clean_of[t], -t))
+        got = left.pop(t)
+        if len(got) < least or len(got) <= 5 * clean_of[t]:
+            break
+        chosen[names[t]] = terms[names[t]]
+        left = {u: docs - got for u, docs in left.items()}
+    return chosen
+
+
 @dataclass
 class Model:
     lexicon: dict[tuple[str, bool], float]
@@ -257,9 +292,36 @@ class Model:
 DEFAULT = [-3.0, 1.2, 1.2, 0.8, 0.2, 0.4]
 
 
+def logistic(x: np.ndarray, y: np.ndarray, prior: list[float]) -> list[float]:
+    """Intercept and coefficients, drawn to ``prior``, by Newton's method. The penalized loss is
+    convex; steps are halved until it falls, for full steps can diverge where classes separate."""
+    x = np.hstack((np.ones((len(x), 1)), x))
+    start = np.array(prior)
+    ridge = np.full(x.shape[1], 2.0)
+    ridge[0] = 0.1
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - z @ y + 0.5 * (ridge * (w - start) ** 2).sum()
+
+    w, now = start, loss(start)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        g = x.T @ (p - y) + ridge * (w - start)
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        step, scale = np.linalg.solve(h, g), 1.0
+        while (new := loss(w - scale * step)) > now and scale > 1e-9:
+            scale /= 2
+        if new >= now - 1e-10 * max(1.0, abs(now)):
+            break
+        w, now = w - scale * step, new
+    return [float(v) for v in w]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): the lexicon from all
     labelled rows, coefficients from a hash sample of at most about SAMPLE_ROWS of them."""
+    text_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     labelled = docs.select("doc_id", "text").join(small_side(known), "doc_id").select("doc_id", "text", "toxic")
     terms = learn_lexicon(labelled)
@@ -267,6 +329,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
     some = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
+    order = {k: i for i, k in enumerate(terms)}
+
+    def held(batches):
+        known = frozenset(order)
+        for b in batches:
+            got = [[order[k] for k in _terms(t) & known] for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), b.column(1).cast(pa.int32())], ["ids", "y"])
+
+    some = some.select("text", "toxic")
+    terms = cover(terms, [(r.ids, r.y) for r in some.mapInArrow(held, "ids array<int>, y int").collect()])
+
     def run(batches):
         lexicon = Lexicon(terms)
         for b in batches:
@@ -276,7 +349,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 ["x", "odd", "y"],
             )
 
-    rows = some.select("text", "toxic").mapInArrow(run, "x array<double>, odd array<string>, y int").collect()
+    rows = some.mapInArrow(run, "x array<double>, odd array<string>, y int").collect()
     y = np.array([r.y for r in rows], float)
     if not len(y) or y.min() == y.max():
         return Model(terms, DEFAULT, frozenset())
@@ -287,19 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     x = np.array([r.x for r in rows])
     alone = np.array([bool(r.odd) and ignored.issuperset(r.odd) and r.x[2] == 0 for r in rows])
     x[alone] = 0.0
-    x = np.hstack((np.ones((len(x), 1)), x))
-    w, prior = np.array(DEFAULT), np.array(DEFAULT)
-    ridge = np.full(x.shape[1], 2.0)
-    ridge[0] = 1e-3
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * (w - prior)
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(h, g)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
-            break
-    return Model(terms, [float(v) for v in w], ignored)
+    return Model(terms, logistic(x, y, DEFAULT), ignored)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
