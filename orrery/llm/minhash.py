@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.components import connected_components
 from orrery.llm.text import mix64, shingle_set
-from orrery.plans.storage import cut, small_side
+from orrery.plans.storage import cut, small_side, text_batches
 
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
@@ -277,6 +277,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, n: int = 5) -> Dat
     nothing. Rows that repeat a doc_id are the same document for links; each row gets the
     component of its own text. An empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     made = cut(sketches(docs, n), "sketch")
     named = made.where("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))

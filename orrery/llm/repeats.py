@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.text import mix64, prefix_hash, span_hash
-from orrery.plans.storage import cut, drop_cut, small_side
+from orrery.plans.storage import cut, drop_cut, small_side, text_batches
 
 FIRST, SECOND = 32, 64
 #: Bytes of a text that are looked at together; longer texts go in overlapping pieces.
@@ -260,10 +260,11 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     places = cut(_places(rows, often, length), "places")
     drop_cut(often)
     place = F.struct("doc", "th", "ab")
-    keys = places.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(place).alias("f"))
+    # written, so that the join below stands on plain exchanges and hot names can be split
+    keys = cut(places.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(place).alias("f")), "keys")
     judged = places.join(keys, "k").where("c0 <> c1 or struct(doc, th, ab) <> f")
     judged = cut(judged.select("doc", "th", "k", "c", "ab", (F.col("c0") != F.col("c1")).alias("differs")), "judged")
-    drop_cut(places)
+    drop_cut(places, keys)
     differing = judged.where("differs")
     classes = differing.groupBy("k", "c").agg(F.min(place).alias("f"))
     first = differing.join(classes, ["k", "c"]).withColumn("first", F.expr("struct(doc, th, ab) = f"))
@@ -297,6 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """
     if not SECOND <= length < 4096:
         raise ValueError("length must be from 64 to 4095")
+    text_batches(docs.sparkSession)
     rows = _keyed(docs)
     spans = repeated_spans(rows.select("__doc", "__th", "__text"), length)
     own = list(docs.columns)
