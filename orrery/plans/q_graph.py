@@ -62,6 +62,11 @@ def _(t, spark):
     return G.closeness(e, nodes, 3)
 
 
+@query("closeness_bfs_all")
+def _(t, spark):
+    return G.closeness_all(_edges(t))
+
+
 @query("hyper_anf")
 def _(t, spark):
     return G.hyper_anf(_edges(t), 4)
@@ -74,12 +79,25 @@ def _(t, spark):
     return G.common_neighbours(_edges(t), pairs).select("a", "b", "n")
 
 
+@query("common_neighbours_all", f"""WITH e AS ({_EDGES}), p AS (SELECT DISTINCT l_suppkey + 1000000 AS a, l_suppkey + 1000001 AS b FROM lineitem)
+  SELECT a, b, count(y.src) AS n FROM p LEFT JOIN e x ON x.dst = a LEFT JOIN e y ON y.dst = b AND y.src = x.src GROUP BY a, b""")
+def _(t, spark):
+    pairs = t("lineitem").select((F.col("l_suppkey") + 1000000).alias("a"), (F.col("l_suppkey") + 1000001).alias("b")).distinct()
+    return G.common_neighbours(_edges(t), pairs).select("a", "b", "n")
+
+
 @query("node_labels", "SELECT c_custkey AS node, c_mktsegment AS label FROM customer WHERE c_custkey % 3 = 0")
 def _(t, spark):
     labels = t("customer").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("label"))
     return G.node_labels(t("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("node")), labels)
 
 
+@query("node_labels_all", "SELECT c_custkey AS node, c_mktsegment AS label FROM customer")
+def _(t, spark):
+    labels = t("customer").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("label"))
+    return G.node_labels(t("customer").select(F.col("c_custkey").alias("node")), labels)
+
+
 @query("modularity", """WITH e AS (SELECT l_partkey % 40 AS src, 1000 + l_suppkey % 30 AS dst, count(*)::DOUBLE AS w FROM lineitem WHERE (l_partkey + l_suppkey) % 7 < 2 GROUP BY ALL),
   c AS (SELECT src % 3 AS a, dst % 3 AS b, w FROM e), d AS (SELECT c, sum(w) AS w FROM (SELECT a AS c, w FROM c UNION ALL SELECT b, w FROM c) GROUP BY c)
   SELECT round((SELECT sum(CASE WHEN a = b THEN w ELSE 0 END) / sum(w) FROM c) - (SELECT sum(w * w) FROM d) / (4 * (SELECT sum(w) * sum(w) FROM c)), 6) AS q""")
@@ -94,20 +112,46 @@ def _weighted(t) -> DataFrame:
     return rows.groupBy((F.col("l_partkey") % 40).alias("src"), (F.col("l_suppkey") % 30 + 1000).alias("dst")).agg(F.count("*").cast("double").alias("weight"))
 
 
+def _weighted_all(t) -> DataFrame:
+    """All part-supplier edges, weighted by the lines that name both."""
+    return t("lineitem").groupBy(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+
+
+@query("modularity_all", """WITH e AS (SELECT l_partkey AS src, 1000000 + l_suppkey AS dst, count(*)::DOUBLE AS w FROM lineitem GROUP BY ALL),
+  c AS (SELECT src % 3 AS a, dst % 3 AS b, w FROM e), d AS (SELECT c, sum(w) AS w FROM (SELECT a AS c, w FROM c UNION ALL SELECT b, w FROM c) GROUP BY c)
+  SELECT round((SELECT sum(CASE WHEN a = b THEN w ELSE 0 END) / sum(w) FROM c) - (SELECT sum(w * w) FROM d) / (4 * (SELECT sum(w) * sum(w) FROM c)), 6) AS q""")
+def _(t, spark):
+    e = _weighted_all(t)
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return G.modularity(e, nodes.withColumn("community", F.col("node") % 3)).select(F.round("q", 6).alias("q"))
+
+
 @query("louvain")
 def _(t, spark):
-    return G.louvain(_weighted(t), rounds=3, folds=2)
+    return G.louvain(_weighted_all(t), rounds=3, folds=2)
 
 
-def _sample(t) -> DataFrame:
+def _vectors(t) -> DataFrame:
     v = V.to_sparse(F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
-    return t("lineitem").where("l_orderkey % 10 = 0").select(F.col("l_linenumber").cast("double").alias("label"), v.alias("features"))
+    return t("lineitem").select("l_orderkey", F.col("l_linenumber").cast("double").alias("label"), v.alias("features"))
+
+
+def _all(t) -> DataFrame:
+    return _vectors(t).drop("l_orderkey")
+
+
+def _sample(t) -> DataFrame:
+    """The rows that the SQL of the round trips without ``_all`` selects."""
+    return _vectors(t).where("l_orderkey % 10 = 0").drop("l_orderkey")
 
 
 _ROUND = """SELECT CAST(l_linenumber AS DOUBLE) AS label, CAST((l_quantity <> 0)::INT + (l_extendedprice <> 0)::INT + (l_discount <> 0)::INT + (l_tax <> 0)::INT AS INTEGER) AS nnz,
   round(l_quantity + l_extendedprice + l_discount + l_tax, 4) AS total FROM lineitem WHERE l_orderkey % 10 = 0"""
 
 
+_ROUND_ALL = _ROUND.removesuffix(" WHERE l_orderkey % 10 = 0")
+
+
 def _profile(df: DataFrame) -> DataFrame:
     return df.select("label", F.size("features.values").alias("nnz"), F.round(V.total(F.col("features.values")), 4).alias("total"))
 
@@ -119,28 +163,42 @@ def _(t, spark):
     return _profile(vectors.read_libsvm(spark, path))
 
 
+@query("libsvm_roundtrip_all", _ROUND_ALL)
+def _(t, spark):
+    path = fresh_path(spark, "libsvm")
+    vectors.write_libsvm(_all(t), path)
+    return _profile(vectors.read_libsvm(spark, path))
+
+
 @query("libsvm_width", "SELECT CAST(4 AS BIGINT) AS width")
 def _(t, spark):
     path = fresh_path(spark, "libsvm")
-    vectors.write_libsvm(_sample(t), path)
+    vectors.write_libsvm(_all(t), path)
     return vectors.read_libsvm(spark, path).agg(F.max("features.size").alias("width"))
 
 
-def _fields(t) -> DataFrame:
-    return _sample(t).withColumn("fields", F.transform("features.indices", lambda i: i % 2))
+def _fields(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("fields", F.transform("features.indices", lambda i: i % 2))
 
 
 @query("ffm_roundtrip", _ROUND)
 def _(t, spark):
     path = fresh_path(spark, "ffm")
-    vectors.write_ffm(_fields(t), path)
+    vectors.write_ffm(_fields(_sample(t)), path)
+    return _profile(vectors.read_ffm(spark, path))
+
+
+@query("ffm_roundtrip_all", _ROUND_ALL)
+def _(t, spark):
+    path = fresh_path(spark, "ffm")
+    vectors.write_ffm(_fields(_all(t)), path)
     return _profile(vectors.read_ffm(spark, path))
 
 
 @query("ffm_meta", "SELECT CAST(k AS BIGINT) AS key, CAST(k % 2 AS BIGINT) AS field FROM range(0, 4) AS r(k)")
 def _(t, spark):
     path = fresh_path(spark, "ffm")
-    vectors.write_ffm(_fields(t), path)
+    vectors.write_ffm(_fields(_all(t)), path)
     return vectors.ffm_metadata(vectors.read_ffm(spark, path))
 
 
