@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from orrery.functions import vectors as V
 from orrery.operators import boosting as B
 from orrery.operators import embedding as E
+from orrery.operators import graph as G
 from orrery.operators import linear as L
 from orrery.operators import lsh
 from orrery.operators import matrices as M
 from orrery.operators import networks as N
 from orrery.operators import params_table as P
 from orrery.operators.formula import RFormula
+from orrery.operators.text import dense_ids
 from orrery.plans.registry import query
-from orrery.plans.storage import fresh_path
+from orrery.plans.storage import cut, fresh_path
 from orrery.streaming import ab_test
 
 # ------------------------------------------------------------------ linear models on the table
@@ -213,6 +215,28 @@ def _(t, spark):
     return best.select("fid", "bin", F.round("gain", 4).alias("gain"))
 
 
+def _bins(t) -> DataFrame:
+    return B.binned(_features(t), B.candidate_splits(_features(t)))
+
+
+@query("gbdt_bins_all")
+def _(t, spark):
+    return _bins(t).groupBy("fid", "bin").agg(F.count("*").alias("n"))
+
+
+@query("gbdt_histogram_all")
+def _(t, spark):
+    return B.histogram(_bins(t), _rows(t))
+
+
+@query("gbdt_root_split_all")
+def _(t, spark):
+    rows = _rows(t)
+    totals = rows.groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    best = B.best_splits(B.histogram(_bins(t), rows), totals, min_gain=-math.inf)
+    return best.select("fid", "bin", F.round("gain", 4).alias("gain"))
+
+
 @query("gbdt_predict", """SELECT o_orderkey AS row_id, round(0.1 * (CASE WHEN o_totalprice < 150000 THEN CASE WHEN o_custkey % 7 < 3 THEN -0.5 ELSE 0.25 END ELSE 1.0 END) + 0.1 * (CASE WHEN o_orderkey % 5 < 2 THEN 0.75 ELSE -0.75 END), 6)::DOUBLE AS score FROM orders""")
 def _(t, spark):
     one = B.Tree({0: (0, 0, 150000.0, 1.0), 1: (1, 0, 3.0, 1.0)}, {3: -0.5, 4: 0.25, 2: 1.0})
@@ -245,14 +269,22 @@ def _(t, spark):
 
 @query("line_embedding")
 def _(t, spark):
-    e = t("lineitem").select((F.col("l_partkey") % 100).alias("src"), (F.col("l_suppkey") % 50 + 100).alias("dst")).distinct()
-    return E.as_table(spark, E.line(e, 150, dim=8, epochs=2)[0]).select("node", F.size("vector").alias("dim"))
+    """Every distinct part-supplier edge over the dense ids of its nodes; node is the original id."""
+    e = t("lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).distinct()
+    ids = cut(G.node_index(e), "ids")
+    dense = e.join(ids.toDF("src", "a"), "src").join(ids.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    vectors = E.as_table(spark, E.line(cut(dense, "edges"), ids.count(), dim=8, epochs=2)[0], "idx")
+    return vectors.join(ids, "idx").select("node", F.size("vector").alias("dim"))
 
 
 @query("word2vec")
 def _(t, spark):
-    s = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list((F.col("l_partkey") % 100).cast("long"))).alias("words"))
-    return E.as_table(spark, E.word2vec(s, 100, dim=8, epochs=2)[0]).select("node", F.size("vector").alias("dim"))
+    """Orders as sentences of all their part keys; node is the part key."""
+    lines = t("lineitem").select("l_orderkey", "l_partkey")
+    ids = cut(dense_ids(lines.select(F.col("l_partkey").alias("node")).distinct(), "node", "idx"), "ids")
+    s = lines.join(ids, F.col("l_partkey") == F.col("node")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("idx").cast("long"))).alias("words"))
+    vectors = E.as_table(spark, E.word2vec(cut(s, "sentences"), ids.count(), dim=8, epochs=2)[0], "idx")
+    return vectors.join(ids, "idx").select("node", F.size("vector").alias("dim"))
 
 
 @query("kmeans")
@@ -294,6 +326,14 @@ def _(t, spark):
     return out.where("ia < ib").select("ia", "ib", F.round("distance", 6).alias("distance"))
 
 
+@query("minhash_join_all")
+def _(t, spark):
+    """Every order with its own part keys."""
+    s = t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_partkey").alias("p")).withColumn("h", lsh.minhash(F.col("p"), _COEF))
+    out = lsh.similarity_join(s, s, "k", "k", "h", "p", lsh.jaccard_distance, 0.5)
+    return out.where("ia < ib").select("ia", "ib", F.round("distance", 6).alias("distance"))
+
+
 @query("brp_lsh", "SELECT l_orderkey, l_linenumber, CAST(floor((l_quantity * 0.6 + l_tax * 0.8) / 0.5) AS BIGINT) AS h0, CAST(floor((l_quantity * 0.8 - l_tax * 0.6) / 0.5) AS BIGINT) AS h1 FROM lineitem")
 def _(t, spark):
     df = t("lineitem").withColumn("h", lsh.projection(F.array("l_quantity", "l_tax"), [[0.6, 0.8], [0.8, -0.6]], 0.5))
