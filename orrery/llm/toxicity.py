@@ -45,7 +45,8 @@ LEXICON = 4000
 COMMON, RARE = 0.05, 0.002
 #: Labelled rows of the bounded sample on which the logistic model's coefficients are fitted.
 SAMPLE_ROWS = 20_000
-#: Edits that a misspelled term may have, for terms of at least so many letters (stems: more).
+#: Edits that a misspelled term may have, for terms of at least so many letters (stems: more; the
+#: learned words that a shorter stem stands for are terms of their own for misspellings).
 EDITS, FUZZY_TERM, FUZZY_STEM = 1, 5, 8
 #: Weight of a misspelled term relative to the term.
 FUZZY_WEIGHT = 0.7
@@ -59,6 +60,7 @@ class Lexicon:
     terms: dict[tuple[str, bool], float]
     children: list[dict[str, int]] = field(default_factory=lambda: [{}])
     ends: dict[int, tuple[float, int, bool]] = field(default_factory=dict)
+    words: dict[int, tuple[float, int, bool]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for (term, is_stem), weight in sorted(self.terms.items()):
@@ -70,6 +72,8 @@ class Lexicon:
                     self.children[node][c] = nxt
                     self.children.append({})
                 node = nxt
+            if not is_stem:
+                self.words[node] = (weight, len(term), False)
             old = self.ends.get(node)
             if old is None or is_stem or not old[2]:
                 self.ends[node] = (weight, len(term), is_stem)
@@ -98,7 +102,7 @@ class Lexicon:
             self.states.append(key)
             self.moves.append({})
             exact = [self.ends[n] for n, e in key if e == 0 and n in self.ends]
-            near = [self.ends[n] for n, e in key if e and n in self.ends]
+            near = [x for n, e in key if e for x in (self.ends.get(n), self.words.get(n)) if x]
             near = [x for x in near if x[1] >= (FUZZY_STEM if x[2] else FUZZY_TERM)]
             self.final.append(any(x[2] for x in exact))
             self.accepts.append((max(exact)[0], True) if exact else (max(near)[0] * FUZZY_WEIGHT, False) if near else None)
@@ -218,13 +222,14 @@ def _tail(k: int, n: int, p: float) -> float:
     return -n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0))
 
 
-def learn_lexicon(labelled: DataFrame) -> dict[tuple[str, bool], float]:
-    """Terms with their weights from all of ``labelled`` (text, toxic)."""
+def learn_lexicon(labelled: DataFrame) -> tuple[dict[tuple[str, bool], float], dict[tuple[str, bool], float]]:
+    """Terms with their weights from all of ``labelled`` (text, toxic), and the words of at least
+    FUZZY_TERM letters for which a stem stands among them: a misspelling is found by the word only."""
     total = labelled.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
     toxic, n = int(total.toxic or 0), int(total.n)
-    terms = {(t, False): 3.0 for t in SEED_TERMS}
+    terms, words = {(t, False): 3.0 for t in SEED_TERMS}, {}
     if not 0 < toxic < n:
-        return terms
+        return terms, words
     least = max(3, math.ceil(SUPPORT * toxic))
     # at most (terms of a document) / SUPPORT of them reach that support
     wanted = frozenset((r.term, r.stem) for r in _count_terms(labelled.where("toxic = 1"), None).where(F.col("n") >= least).toLocalIterator())
@@ -241,12 +246,13 @@ def learn_lexicon(labelled: DataFrame) -> dict[tuple[str, bool], float]:
     # a stem stands for all words that begin with it unless these are clearly purer
     stems = {t: share for _, t, s, _, share in scored if s}
     for _, term, is_stem, odds, share in scored:
-        if len(terms) >= LEXICON:
-            break
         shorter = [stems[term[:k]] for k in range(STEMS.start, len(term)) if term[:k] in stems]
         if not shorter or share > max(shorter) + 0.02:
-            terms[term, is_stem] = odds
-    return terms
+            if len(terms) < LEXICON:
+                terms[term, is_stem] = odds
+        elif not is_stem and len(term) >= FUZZY_TERM:
+            words[term, False] = odds
+    return terms, words
 
 
 def cover(terms: dict[tuple[str, bool], float], rows: list[tuple[list[int], int]]) -> dict[tuple[str, bool], float]:
@@ -324,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     text_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     labelled = docs.select("doc_id", "text").join(small_side(known), "doc_id").select("doc_id", "text", "toxic")
-    terms = learn_lexicon(labelled)
+    terms, words = learn_lexicon(labelled)
     n = known.count()
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
     some = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -339,6 +345,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     some = some.select("text", "toxic")
     terms = cover(terms, [(r.ids, r.y) for r in some.mapInArrow(held, "ids array<int>, y int").collect()])
+    stems = {t for t, is_stem in terms if is_stem}
+    terms = {k: v for k, v in words.items() if any(k[0][:n] in stems for n in STEMS)} | terms
 
     def run(batches):
         lexicon = Lexicon(terms)

@@ -400,6 +400,26 @@ def test_toxicity_held_out(spark):
     assert len(none) == 404 and toxicity.toxicity(docs.limit(0), lab).count() == 0
 
 
+def test_misspelled_learned_terms_are_toxic(spark):
+    data, labels = [], []
+    for i in range(400):
+        w = base_text(1000 + i, 40).split()
+        if i % 4 == 0:
+            w[7] = w[21] = ("grumfel", "vexoid")[i // 4 % 2]
+        data.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.fit(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    odd = ["grxmfel", "gumfel", "grummfel", "vexoid", "v3xoid", "vexxoid", "harmless"]
+    texts = spark.createDataFrame([(w, f"you are a {w} and a {w} you {w}") for w in odd], "w string, text string")
+    got = {r.w: r.predicted for r in toxicity.score(texts, model).collect()}
+    assert got == {w: int(w != "harmless") for w in odd}
+
+
+def test_a_word_beside_its_own_stem_stays_fuzzy():
+    lex = toxicity.Lexicon({("grumf", True): 3.0, ("grumf", False): 2.0})
+    assert lex.match("grumfen")[1] and lex.match("grxmf") == (2.0 * toxicity.FUZZY_WEIGHT, False) and lex.match("xrxmf") is None
+
+
 def test_queries_are_registered():
     names = list(Q.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
