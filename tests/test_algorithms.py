@@ -21,6 +21,12 @@ def test_k_core_by_peeling(spark):
     assert got == {**dict.fromkeys([*range(5), *range(10, 15)], 4), 20: 1}
 
 
+def test_k_core_of_a_long_chain(spark):
+    chain = [(i, i + 1) for i in range(410)]
+    got = graph.k_core(spark.createDataFrame(chain, "src long, dst long"))
+    assert got.count() == 411 and got.where("coreness <> 1").isEmpty()
+
+
 def test_louvain_finds_cliques_and_raises_modularity(spark):
     e = two_cliques(spark).withColumn("weight", F.lit(1.0))
     c = graph.louvain(e, rounds=4, folds=2)
