@@ -58,15 +58,19 @@ def node_gain(g: Column, h: Column, reg_lambda: float, alpha: float = 0.0) -> Co
     return t * t / (h + reg_lambda)
 
 
-def best_splits(hist: DataFrame, totals: DataFrame, reg_lambda: float = 1.0, alpha: float = 0.0, min_child: float = 0.0, min_gain: float = 0.0) -> DataFrame:
+def best_splits(hist: DataFrame, totals: DataFrame, reg_lambda: float = 1.0, alpha: float = 0.0, min_child: float = 0.0, min_gain: float = 0.0, absent_right: DataFrame | None = None) -> DataFrame:
     """(node, fid, bin, gain, gl, hl) of each node's best split "bin <= b goes left"; rows without
-    an entry of the feature go left with bin 0. gain = G_L + G_R - G - lambda. Ties: smallest
+    an entry of the feature go left, but right at the (fid, bin) of ``absent_right``. gain = G_L + G_R - G - lambda. Ties: smallest
     feature, then bin."""
     present = hist.groupBy("node", "fid").agg(F.sum("g").alias("pg"), F.sum("h").alias("ph"))
     h = hist.join(present, ["node", "fid"]).join(totals.toDF("node", "tg", "th"), "node")
     w = Window.partitionBy("node", "fid").orderBy("bin")
-    gl = F.sum("g").over(w) + F.col("tg") - F.col("pg")
-    hl = F.sum("h").over(w) + F.col("th") - F.col("ph")
+    goes_left = F.lit(1.0)
+    if absent_right is not None:
+        h = h.join(F.broadcast(absent_right.withColumn("right", F.lit(True))), ["fid", "bin"], "left")
+        goes_left = F.when(F.col("right"), 0.0).otherwise(1.0)
+    gl = F.sum("g").over(w) + goes_left * (F.col("tg") - F.col("pg"))
+    hl = F.sum("h").over(w) + goes_left * (F.col("th") - F.col("ph"))
     s = h.select("node", "fid", "bin", gl.alias("gl"), hl.alias("hl"), "tg", "th")
     gr, hr = F.col("tg") - F.col("gl"), F.col("th") - F.col("hl")
     gain = node_gain(F.col("gl"), F.col("hl"), reg_lambda, alpha) + node_gain(gr, hr, reg_lambda, alpha) - node_gain(F.col("tg"), F.col("th"), reg_lambda, alpha) - reg_lambda
@@ -84,10 +88,15 @@ def leaf_weight(g: float, h: float, reg_lambda: float, alpha: float = 0.0, max_w
 
 @dataclass
 class Tree:
-    """splits: node -> (fid, bin, threshold, gain); leaves: node -> weight. Children of n: 2n+1, 2n+2."""
+    """splits: node -> (fid, bin, threshold, gain); leaves: node -> weight. Children of n: 2n+1, 2n+2.
+    Absent values go left iff the threshold is above 0, and always at a feature of ``categorical``."""
 
     splits: dict[int, tuple] = field(default_factory=dict)
     leaves: dict[int, float] = field(default_factory=dict)
+    categorical: frozenset = frozenset()
+
+    def absent_left(self, fid: int, threshold: float) -> bool:
+        return fid in self.categorical or threshold > 0
 
     def expression(self, value, node: int = 0) -> Column:
         """The tree as nested conditions; ``value(fid)`` is a feature's column (absent: null)."""
@@ -95,7 +104,7 @@ class Tree:
             return F.lit(self.leaves[node])
         fid, _, threshold, _ = self.splits[node]
         x = value(fid)
-        left = F.when(x.isNull(), True).otherwise(x < threshold)
+        left = F.when(x.isNull(), self.absent_left(fid, threshold)).otherwise(x < threshold)
         return F.when(left, self.expression(value, 2 * node + 1)).otherwise(self.expression(value, 2 * node + 2))
 
 
@@ -121,16 +130,18 @@ class BoostedModel:
         return {f: (len(g), sum(g) / len(g), sum(g)) for f, g in sorted(out.items())}
 
 
-def _grow(bins: DataFrame, rows: DataFrame, thresholds: dict, depth: int, reg_lambda: float, alpha: float, min_child: float, leaf_wise: int, max_weight: float) -> tuple[Tree, DataFrame]:
+def _grow(bins: DataFrame, rows: DataFrame, thresholds: dict, depth: int, reg_lambda: float, alpha: float, min_child: float, leaf_wise: int, max_weight: float, categorical: frozenset = frozenset()) -> tuple[Tree, DataFrame]:
     """One tree, level by level. ``rows``: row_id, node 0, g, h."""
-    tree = Tree()
+    tree = Tree(categorical=categorical)
     total = rows.agg(F.sum("g"), F.sum("h")).first()
     sums = {0: (total[0] or 0.0, total[1] or 0.0)}
     hist, open_nodes = cut(histogram(bins, rows), "hist"), [0]
     spark = rows.sparkSession
+    right = [(f, b) for f, t in thresholds.items() for b in range(len(t) - 1) if not tree.absent_left(f, t[b + 1])]
+    right = spark.createDataFrame(right, "fid int, bin int")
     for level in range(depth):
         totals = spark.createDataFrame([(n, *sums[n]) for n in open_nodes], "node int, g double, h double")
-        found = {r.node: r for r in best_splits(hist, totals, reg_lambda, alpha, min_child).collect()}  # a row for each open node
+        found = {r.node: r for r in best_splits(hist, totals, reg_lambda, alpha, min_child, absent_right=right).collect()}  # a row for each open node
         if leaf_wise:
             budget = leaf_wise - len(tree.leaves) - len(open_nodes)
             found = {r.node: r for r in sorted(found.values(), key=lambda r: -r.gain)[: max(budget, 0)]}
@@ -145,10 +156,10 @@ def _grow(bins: DataFrame, rows: DataFrame, thresholds: dict, depth: int, reg_la
             g, h = sums[n]
             sums[2 * n + 1], sums[2 * n + 2] = (r.gl, r.hl), (g - r.gl, h - r.hl)
             small.append(2 * n + (1 if r.hl <= h - r.hl else 2))
-        table = F.broadcast(spark.createDataFrame([(n, r.fid, r.bin) for n, r in found.items()], "node int, fid int, cut int"))
+        table = F.broadcast(spark.createDataFrame([(n, r.fid, r.bin, tree.absent_left(r.fid, tree.splits[n][2])) for n, r in found.items()], "node int, fid int, cut int, absent boolean"))
         need = rows.join(table, "node")
         at = need.join(bins, ["row_id", "fid"], "left")
-        child = F.when(F.coalesce("bin", F.lit(0)) <= F.col("cut"), 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)
+        child = F.when(F.coalesce(F.col("bin") <= F.col("cut"), F.col("absent")), 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)
         moved = at.select("row_id", child.alias("node"), "g", "h")
         rows = cut(moved.union(rows.join(table, "node", "left_anti").select("row_id", "node", "g", "h")), "rows")
         open_nodes = [c for n in found for c in (2 * n + 1, 2 * n + 2)]
@@ -174,6 +185,7 @@ def boost(entries: DataFrame, labels: DataFrame, objective: str = "logistic", ro
     ``max_decays`` of these."""
     table = cut(candidate_splits(entries, num_splits), "splits")
     thresholds = {r.fid: list(r.splits) for r in table.toLocalIterator()}
+    categorical = frozenset(r.fid for r in table.where("categorical").toLocalIterator())
     bins = cut(binned(entries, table), "bins")
     model = BoostedModel([], rate)
     scored = labels.select("row_id", F.col("label").cast("double").alias("label"), F.lit(0.0).alias("score"))
@@ -183,7 +195,7 @@ def boost(entries: DataFrame, labels: DataFrame, objective: str = "logistic", ro
         rows = scored.select("row_id", F.lit(0).alias("node"), g.alias("g"), h.alias("h"))
         if row_share < 1:
             rows = rows.where(uniform(seed + k, "row_id") < row_share)
-        tree, placed = _grow(bins, cut(rows, "rows"), thresholds, depth, max(reg_lambda, 1.0), alpha, min_child, max_leaves, max_weight)
+        tree, placed = _grow(bins, cut(rows, "rows"), thresholds, depth, max(reg_lambda, 1.0), alpha, min_child, max_leaves, max_weight, categorical)
         # scaled at once, as the rate may fall later
         tree.leaves = {n: w * rate / model.rate for n, w in tree.leaves.items()}
         model.trees.append(tree)
@@ -211,11 +223,11 @@ def _walk(bins: DataFrame, labels: DataFrame, tree: Tree, rate: float) -> DataFr
     rows = labels.select("row_id", F.lit(0).alias("node"))
     spark = rows.sparkSession
     while any(n in tree.splits for n in range(2 ** (max(tree.leaves).bit_length() + 1))):
-        table = F.broadcast(spark.createDataFrame([(n, s[0], s[1]) for n, s in tree.splits.items()], "node int, fid int, cut int"))
+        table = F.broadcast(spark.createDataFrame([(n, s[0], s[1], tree.absent_left(s[0], s[2])) for n, s in tree.splits.items()], "node int, fid int, cut int, absent boolean"))
         at = rows.join(table, "node").join(bins, ["row_id", "fid"], "left")
-        child = F.when(F.coalesce("bin", F.lit(0)) <= F.col("cut"), 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)
+        child = F.when(F.coalesce(F.col("bin") <= F.col("cut"), F.col("absent")), 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)
         moved = at.select("row_id", child.alias("node"))
-        rows = cut(moved.union(rows.join(table, "node", "left_anti")), "walk")
+        rows = cut(moved.union(rows.join(table, "node", "left_anti").select("row_id", "node")), "walk")
         if moved.isEmpty():
             break
     w = F.lit(0.0)

@@ -124,6 +124,21 @@ def test_boosting_learns_and_scores_alike(spark):
     assert scored.where((F.col("s") > 0).cast("double") == F.col("label")).count() > 150
 
 
+@pytest.mark.parametrize("row_share", [1.0, 0.9])
+def test_absent_values_go_right_of_negative_thresholds(spark, row_share):
+    entries = spark.createDataFrame([(i, 0, float(-1 - i % 40)) for i in range(200)], "row_id long, fid int, value double")
+    labels = spark.createDataFrame([(i, int(i >= 200 or i % 40 < 10)) for i in range(400)], "row_id long, label int")
+    m = boosting.boost(entries, labels, rounds=1, depth=1, row_share=row_share)
+    (_, _, threshold, _), = m.trees[0].splits.values()
+    absent, low = spark.range(1).select(m.score(lambda f: F.lit(None).cast("double")), m.score(lambda f: F.lit(-30.0))).first()
+    assert threshold < 0 and absent > 0 > low
+    right = [i for i in range(400) if i >= 200 or -1 - i % 40 >= threshold]
+    if row_share == 1:
+        y = [int(i >= 200 or i % 40 < 10) for i in right]
+        assert abs(absent - 0.1 * sum(v - 0.5 for v in y) / (0.25 * len(y) + 1)) < 1e-9
+    assert m.history[0] < np.log(2)
+
+
 def test_embedding_loss_falls(spark):
     e = two_cliques(spark)
     for order in (1, 2):
