@@ -153,6 +153,68 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM j
 """
 
+def _sql_list(words: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words.split()) + "]::VARCHAR[]"
+
+
+_PHRASE = "list_filter(range(0, greatest(len(w) - {n} + 1, 0)), lambda i: {same})"
+_PHRASES = [
+    _PHRASE.format(n=len(phrase.split()), same=" AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(phrase.split())))
+    for phrase, _ in licenses.PHRASES
+]
+_FULL = 2**licenses.TEMPLATE_WORDS - 1
+
+OP7 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT *, {", ".join(f"{sql} AS p{k}" for k, sql in enumerate(_PHRASES))} FROM d
+), base AS (
+  SELECT *, list_concat({", ".join(f"p{k}" for k in range(len(_PHRASES)))}) AS places,
+    list_sort(list_distinct(list_filter([{", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.PHRASES))}], lambda x: x IS NOT NULL))) AS base
+  FROM b
+), t(template, label, need, ban, tw) AS (
+  VALUES {", ".join(f"({i}, '{label}', {_sql_list(need)}, {_sql_list(ban)}, {_sql_list(text)})" for i, (label, need, ban, text) in enumerate(licenses.TEMPLATES))}
+), tg AS (
+  SELECT template, len(tw) AS size, i AS tpos, tw[i + 1] || ' ' || tw[i + 2] || ' ' || tw[i + 3] AS g
+  FROM (SELECT *, unnest(range(0, len(tw) - 2)) AS i FROM t)
+), dg AS (
+  SELECT rid, i AS pos, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g
+  FROM (SELECT rid, w, unnest(range(0, greatest(len(w) - 2, 0))) AS i FROM d)
+), diagonals AS (
+  SELECT rid, template, size, pos - tpos AS diagonal, min(pos) AS low, max(pos) AS high, count(*) AS votes
+  FROM dg JOIN tg USING (g) GROUP BY ALL
+), steps AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > least({licenses.SLACK}, size // 3) THEN 1 ELSE 0 END AS step
+  FROM diagonals
+), runs AS (
+  SELECT *, sum(step) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run FROM steps
+), spans AS (
+  SELECT rid, template, size, min(low) AS low, max(high) + {licenses.GRAM} AS high FROM runs GROUP BY rid, template, size, run
+  HAVING sum(votes) + {licenses.GRAM - 1} >= {licenses.COVERAGE / 2} * size AND max(high) - min(low) <= {licenses.STRETCH} * size
+), parts AS (
+  SELECT s.rid, t.label, t.tw, w[low + 1:high] AS part, CASE WHEN size <= {licenses.SHORT} THEN {licenses.SHORT_COVERAGE} ELSE {licenses.COVERAGE} END AS least
+  FROM spans s JOIN t USING (template) JOIN d ON s.rid = d.rid
+  WHERE len(list_filter(t.need, lambda x: NOT list_contains(w[low + 1:high], x))) = 0 AND NOT list_has_any(t.ban, w[low + 1:high])
+), masked AS (
+  SELECT rid, label, least, len(tw) AS size,
+    list_transform(part, lambda x: CAST(list_sum(list_transform(range(0, len(tw)), lambda i: CASE WHEN tw[i + 1] = x THEN 1::BIGINT << i ELSE 0::BIGINT END)) AS BIGINT)) AS m
+  FROM parts
+), matched AS (
+  SELECT rid, label, least,
+    ({licenses.TEMPLATE_WORDS} - bit_count(list_reduce(list_concat([{_FULL}::BIGINT], m), lambda v, x: (((v + (v & x)) | (v & ~x)) & {_FULL}::BIGINT)))) / size::DOUBLE AS coverage
+  FROM masked
+), more AS (
+  SELECT rid, list(DISTINCT label) AS more, max(coverage) AS coverage FROM matched WHERE coverage >= least GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+  array_to_string(base, ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,
+  CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(coverage, 0.0)::DOUBLE END AS score
+FROM base LEFT JOIN more USING (rid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_search": OP1, "op3_quality": OP3, "op9_mixing": OP9}
+    return {"op1_search": OP1, "op3_quality": OP3, "op7_licenses": OP7, "op9_mixing": OP9}
