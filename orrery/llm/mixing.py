@@ -4,15 +4,17 @@ Targets: weights share a multiple of all words; a source stops at ``max_repeats`
 size and the excess goes to the others by weight. That fixed point is min(weight * level, cap)
 with the greatest level that a prefix of the sources in the order of cap / weight gives.
 
-A source's documents form one line in the order of a seeded hash. The line is repeated, and the
-target is its exact beginning; the document at the end is taken in part. The line is cut into
-blocks of equally many words. A binary tree splits the block quotas of all sources among the output shards: each node gives its left half a
-multivariate hypergeometric draw, so each shard gets a random mix with exact totals. A shard takes
-the next blocks of each source's permuted line, disjoint from all others', and shuffles its takes
-by another hash.
-
-Positions in a line come from a tree of sums over prefixes of the hash, at most 256 children to a
-node, so that a source with a third of all rows is not sorted in one task.
+A source's documents are dealt by a seeded hash to blocks of about equally many words. Each repetition
+of a source draws its blocks in an order of its own (another hash), as many as the target needs; of the last block,
+the documents are taken in the order of their hashes until the target is met to the word. That gives each source
+an exact quota of blocks. A binary tree splits the quotas of all sources among the output shards:
+each node gives its left half a multivariate hypergeometric draw, so each shard gets a random mix with
+exact totals. A shard draws the next blocks of each source's order, disjoint from all others', and
+shuffles its documents by another hash. What is taken is what the shards draw.
+
+Places in an order come from a tree of sums over prefixes of the hash, at most 256 children to a
+node, and shards below the first thousand nodes are split in tasks of their own, so that neither a source with a third of
+all rows nor the tree meets in one task.
 """
 
 from __future__ import annotations
@@ -28,13 +30,21 @@ from pyspark.sql.window import Window
 from orrery.llm.columns import word_count
 from orrery.plans.storage import cut, small_side
 
-#: Words of a block, at least; more where that would give over 100 million blocks.
+#: Words of a block, about; more where that would give over 100 million blocks.
 BLOCK = 1024
 MAX_BLOCKS = 100_000_000
+#: Words of an output shard, about.
+SHARD_WORDS = 1 << 22
 #: Sources of one splitting tree; more sources get several trees over the same shards.
 TREE_SOURCES = 4096
+#: Nodes of a tree that one task splits; their subtrees go to tasks of their own.
+TREE_TOP = 1024
 #: Rows of a leaf of the prefix-sum tree, about.
 LEAF_ROWS = 256
+#: Blocks whose draws are broadcast (some 100 bytes each); more are joined by a shuffle.
+BROADCAST_BLOCKS = 200_000
+#: Columns of ``mix``.
+MADE = ("size", "source_size", "target", "taken", "takes")
 
 
 def targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repeats: float = 2.0) -> DataFrame:
@@ -53,46 +63,105 @@ def targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repea
     return table.select("sid", "source", "words", "weight", F.least(F.col("weight") * F.col("level"), "cap").alias("target"))
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Shards x sources: how many of each source's blocks go to each shard. Rows and columns add
-    up exactly; shard sizes differ by one at most at each level of the tree."""
-    out = np.zeros((shards, len(quotas)), np.int64)
-
-    def split(at: int, count: int, have: np.ndarray) -> None:
-        if count == 1:
-            out[at] = have
-            return
-        left = count // 2
-        take = int(have.sum()) * left // count
-        rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, at, count])))
-        got = rng.multivariate_hypergeometric(have, take, method="marginals") if have.sum() else have
-        split(at, left, got)
-        split(at + left, count - left, have - got)
-
-    split(0, shards, quotas.astype(np.int64))
-    return out
-
-
-def _shard_offsets(table: DataFrame, shards: int, block: int, seed: int) -> DataFrame:
-    """(sid, cuts): for each source the first block of each shard in the source's line."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sid")
-        quotas = np.ceil(pdf.quota.to_numpy() / block).astype(np.int64)
-        got = split_quotas(quotas, shards, seed + int(key[0]))
-        cuts = np.cumsum(got, axis=0) - got
-        return pd.DataFrame({"sid": pdf.sid, "cuts": list(cuts.T)})
-
-    return (
-        table.select("sid", "quota", F.floor(F.col("sid") / TREE_SOURCES).alias("tree"))
-        .groupBy("tree")
-        .applyInPandas(run, "sid int, cuts array<long>")
+def split_quotas(have: np.ndarray, first: np.ndarray, at: int, count: int, leaf: int, seed: int):
+    """Split the quotas ``have`` of the sources among shards at .. at + count - 1, down to nodes of at most
+    ``leaf`` shards: yields (at, count, have, first) for each. ``first`` are the numbers of the sources' first
+    draws, so that nodes draw disjoint ranges. Quotas add up exactly, and the shards of a node differ by
+    one block at most at each level of the tree. A node's draw depends on its place, its quotas and the seed only."""
+    if count <= leaf:
+        yield at, count, have, first
+        return
+    left = count // 2
+    take = int(have.sum()) * left // count
+    rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, at, count])))
+    got = rng.multivariate_hypergeometric(have, take, method="marginals") if have.sum() else have
+    yield from split_quotas(got, first, at, left, leaf, seed)
+    yield from split_quotas(have - got, first + got, at + left, count - left, leaf, seed)
+
+
+def shard_draws(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(sid, shard, first, n): the draws first .. first + n - 1 of a source that a shard takes; no row
+    for none. ``quotas``: (sid int, n long), the blocks that each source gives."""
+    schema = "tree int, at int, count int, sid int, first long, n long"
+    steps = [max(1, math.ceil(shards / TREE_TOP)), 1]
+
+    def splitter(leaf: int):
+        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("sid")
+            tree, at, count = (int(x) for x in key)
+            sid, parts = pdf.sid.to_numpy(), []
+            for a, c, have, first in split_quotas(pdf.n.to_numpy(np.int64), pdf["first"].to_numpy(np.int64), at, count, leaf, seed + tree):
+                some = have > 0
+                parts.append(pd.DataFrame({"tree": tree, "at": a, "count": c, "sid": sid[some], "first": first[some], "n": have[some]}))
+            return pd.concat(parts)
+
+        return run
+
+    nodes = quotas.where("n > 0").select(F.floor(F.col("sid") / TREE_SOURCES).cast("int").alias("tree"), F.lit(0).alias("at"), F.lit(shards).alias("count"), "sid", F.lit(0).cast("long").alias("first"), "n")
+    for leaf in steps if steps[0] > 1 else steps[1:]:
+        nodes = nodes.groupBy("tree", "at", "count").applyInPandas(splitter(leaf), schema)
+    return nodes.select("sid", F.col("at").alias("shard"), "first", "n")
+
+
+def _hashed(seed: int) -> Column:
+    """60 bits that deal a document to its block and its place there: equal for rows that are equal in id and text."""
+    name = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
+    return F.conv(F.substring(name, 1, 15), 16, 10).cast("long")
+
+
+def _placed(rows: DataFrame, count: int) -> DataFrame:
+    """``rows`` (sid, pass, key: hexadecimal and unique, words, further columns) with rank and before: the number
+    of rows, and their words, that precede a row in the order of the keys of its (sid, pass)."""
+    digits = max(1, math.ceil(math.log(max(count / LEAF_ROWS, 1), 16)))
+    group, start = ["sid", "pass"], None
+    nodes = rows.groupBy(*group, F.substring("key", 1, digits).alias("node")).agg(F.count("*").alias("n"), F.sum("words").alias("w"))
+    levels = [*range(2, digits, 2), digits]
+    for k, width in enumerate(levels):
+        level = nodes.groupBy(*group, F.substring("node", 1, width).alias("node")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+        level = level.withColumn("parent", F.substring("node", 1, levels[k - 1] if k else 0))
+        line = Window.partitionBy(*group, "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+        sums = {c: F.coalesce(F.sum(c).over(line), F.lit(0)) for c in ("n", "w")}
+        if start is None:
+            level = level.withColumns(sums)
+        else:
+            level = level.withColumns(sums).join(start.toDF(*group, "parent", "up_n", "up_w"), [*group, "parent"])
+            level = level.withColumns({"n": F.col("n") + F.col("up_n"), "w": F.col("w") + F.col("up_w")})
+        start = level.select(*group, "node", "n", "w")
+    line = Window.partitionBy(*group, "node").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    own = {"rank": F.col("n") + F.coalesce(F.count("*").over(line), F.lit(0)), "before": F.col("w") + F.coalesce(F.sum("words").over(line), F.lit(0))}
+    return rows.withColumn("node", F.substring("key", 1, digits)).join(start, [*group, "node"]).withColumns(own).drop("node", "n", "w")
+
+
+def _draws(narrow: DataFrame, table: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(sid, block, takes, left, inside) of the blocks that shards draw: takes is an array of (copy, shard);
+    left is the words that the last repetition takes of the source's last block, null for all others, and
+    inside, an array of (h, off, total), where the words of that block's documents begin and how many they are."""
+    sized = narrow.where("size > 0").join(table, narrow.source.eqNullSafe(table.of), "inner")
+    sized = sized.select("sid", F.pmod("h", "n_blocks").alias("block"), "h", "size")
+    blocks = cut(sized.groupBy("sid", "block").agg(F.sum("size").alias("words")), "blocks")
+    count = blocks.count()
+    whole = blocks.groupBy("sid").agg(F.count("*").alias("own"))
+    quotas = table.select("sid", "source_size", "quota").where("quota > 0").join(whole, "sid")
+    last = F.ceil(F.col("quota") / F.col("source_size")) - 1
+    rows = blocks.join(small_side(quotas, 100_000), "sid").withColumn("pass", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    rows = rows.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), "pass", "sid", "block")))
+    placed = _placed(rows, count)
+    due = F.col("quota") - F.col("pass") * F.col("source_size") - F.col("before")
+    drawn = placed.withColumn("due", due).where("due > 0")
+    drawn = cut(drawn.select("sid", "block", "pass", (F.col("pass") * F.col("own") + F.col("rank")).alias("draw"), "words", "due"), "drawn")
+    by_shard = shard_draws(drawn.groupBy("sid").agg(F.count("*").alias("n")), shards, seed)
+    by_shard = by_shard.select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("draw"))
+    takes = drawn.join(by_shard, ["sid", "draw"]).groupBy("sid", "block").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("pass").alias("copy"), "shard"))).alias("takes"),
+        F.max(F.when(F.col("due") < F.col("words"), F.col("due"))).alias("left"),
     )
-
-
-def _permuted(seed: int) -> Column:
-    """The place of a document in its source's line: equal only for rows that are equal."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
+    # one block of each source at most is taken in part
+    parts = drawn.where("due < words").select("sid", "block")
+    members = sized.join(small_side(parts, 100_000), ["sid", "block"]).groupBy("sid", "block", "h").agg(F.sum("size").alias("total"))
+    line = Window.partitionBy("sid", "block").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    members = members.withColumn("off", F.coalesce(F.sum("total").over(line), F.lit(0)))
+    inside = members.groupBy("sid", "block").agg(F.collect_list(F.struct("h", "off", "total")).alias("inside"))
+    return cut(takes.join(inside, ["sid", "block"], "left"), "draws")
 
 
 def mix(
@@ -100,62 +169,46 @@ def mix(
     weights=(5, 2, 1),
     share: float = 1.5,
     max_repeats: float = 2.0,
-    shards: int = 64,
+    shards: int | None = None,
     seed: int = 9,
     keep_rows: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken
     and takes, an array of (copy, words, shard, place): the words that each repetition takes from
     the document's beginning, its shard, and its place in the shard's shuffled order. With
-    ``keep_rows`` the columns of ``docs`` come along.
+    ``keep_rows`` the columns of ``docs`` come along; those named as the new ones are replaced.
+    Without a number of shards there is one for about SHARD_WORDS words of the mix.
 
     Null and empty texts have size 0 and are never taken; null sources are one source, the last.
-    Rows without a doc_id and repeated rows are documents of their own. An empty table gives no
+    Rows without a doc_id and repeated rows are documents of their own; rows equal in id and text that stand
+    where a source's target is met take equal parts of what is left. An empty table gives no
     rows. The result depends on rows, seed and parameters only, not on partitions or order.
     """
-    made = docs.withColumns({"__size": word_count(F.col("text")), "__perm": _permuted(seed)})
-    narrow = cut(made.select("doc_id", "source", F.col("__size").alias("size"), F.col("__perm").alias("perm")), "sizes")
+    own = [c for c in docs.columns if c not in MADE] if keep_rows else ["doc_id"]
+    rows = docs.select(F.struct(*own).alias("row"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), _hashed(seed).alias("h"))
+    narrow = cut(rows.select("source", "size", "h") if keep_rows else rows, "sizes")
+    rows = rows if keep_rows else narrow
     sources = targets(narrow.groupBy("source").agg(F.sum("size").alias("words")), weights, share, max_repeats)
     sources = cut(sources.withColumn("quota", F.floor(F.col("target") + 1e-6)), "sources")
     total = sources.agg(F.sum("quota")).first()[0] or 0
     block = max(BLOCK, math.ceil(total / MAX_BLOCKS))
-    table = sources.join(_shard_offsets(sources, shards, block, seed), "sid")
-    table = cut(table.select("sid", "source", F.col("words").alias("source_size"), "target", "quota", "cuts"), "targets")
+    table = sources.select("sid", F.col("source").alias("of"), F.col("words").alias("source_size"), "target", "quota", F.greatest(F.lit(1), F.ceil(F.col("words") / block)).alias("n_blocks"))
     table = small_side(table, 100_000)
-
-    digits = max(1, math.ceil(math.log(max(narrow.count() / LEAF_ROWS, 1), 16)))
-    levels = [*range(2, digits, 2), digits]
-    sized = narrow.join(small_side(sources.select("sid", "source"), 100_000), narrow.source.eqNullSafe(sources.source)).select("sid", "size", "perm")
-    sums = sized.groupBy("sid", F.substring("perm", 1, digits).alias("node")).agg(F.sum("size").alias("words"))
-    nodes = cut(sums, "nodes")
-    start = None
-    for k, width in enumerate(levels):
-        parent = F.substring("node", 1, levels[k - 1] if k else 0)
-        level = nodes.groupBy("sid", F.substring("node", 1, width).alias("node")).agg(F.sum("words").alias("words"))
-        level = level.withColumn("parent", parent)
-        line = Window.partitionBy("sid", "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-        level = level.withColumn("off", F.coalesce(F.sum("words").over(line), F.lit(0)))
-        if start is not None:
-            level = level.join(start.toDF("sid", "parent", "up"), ["sid", "parent"]).withColumn("off", F.col("off") + F.col("up"))
-        start = level.select("sid", "node", "off")
-
-    if keep_rows:
-        rows = made
-    else:
-        rows = narrow.withColumnsRenamed({"size": "__size", "perm": "__perm"})
-    rows = rows.join(table.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    rows = rows.withColumn("node", F.substring("__perm", 1, digits)).join(start, ["sid", "node"])
-    line = Window.partitionBy("sid", "node").orderBy("__perm").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("__at", F.col("off") + F.sum("__size").over(line) - F.col("__size"))
-
-    def take(copy: int) -> Column:
-        at = F.col("__at") + F.lit(copy) * F.col("source_size")
-        words = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("quota") - at)).cast("long")
-        shard = F.size(F.filter("cuts", lambda c: c <= F.floor(at / block))) - 1
-        place = F.xxhash64(F.lit(seed), F.lit(copy), F.col("__perm"))
-        return F.struct(F.lit(copy).alias("copy"), words.alias("words"), shard.alias("shard"), place.alias("place"))
-
-    takes = F.filter(F.array(*[take(k) for k in range(math.ceil(max_repeats))]), lambda t: t.words > 0)
-    rows = rows.withColumn("takes", takes).withColumn("taken", F.aggregate("takes", F.lit(0).cast("long"), lambda a, t: a + t.words))
-    own = docs.columns if keep_rows else ["doc_id"]
-    return rows.select(*own, F.col("__size").alias("size"), "source_size", "target", "taken", "takes")
+    draws = _draws(narrow, table, shards or max(1, math.ceil(total / SHARD_WORDS)), seed)
+
+    rows = rows.join(table, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod("h", "n_blocks"))
+    taken = rows.where("size > 0").join(small_side(draws, BROADCAST_BLOCKS), ["sid", "block"], "left")
+    at = F.get(F.filter("inside", lambda x: x.h == F.col("h")), 0)
+    part = F.floor(F.col("size") * F.greatest(F.lit(0), F.least(at.total, F.col("left") - at.off)) / at.total)
+    cut_copy = F.size("takes") - 1
+
+    def take(t: Column, i: Column) -> Column:
+        words = F.when(F.col("left").isNotNull() & (i == cut_copy), part).otherwise(F.col("size"))
+        return F.struct(t["copy"].alias("copy"), words.cast("long").alias("words"), t["shard"].alias("shard"), F.xxhash64(F.lit(seed), t["copy"], F.col("h")).alias("place"))
+
+    none = F.array().cast("array<struct<copy:int,words:bigint,shard:int,place:bigint>>")
+    takes = F.coalesce(F.filter(F.transform("takes", take), lambda t: t.words > 0), none)
+    kept = ["row", "size", "source_size", "target"]
+    out = taken.select(*kept, takes.alias("takes")).union(rows.where("size = 0").select(*kept, none.alias("takes")))
+    words = F.aggregate("takes", F.lit(0).cast("long"), lambda a, t: a + t.words)
+    return out.select("row.*", "size", "source_size", "target", words.alias("taken"), "takes")

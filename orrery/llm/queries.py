@@ -52,7 +52,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.transform("takes", lambda t: t.shard).alias("shards"))
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,31 +100,6 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-OP9 = f"""
-WITH d AS (
-  SELECT doc_id, source, CAST(len({_WORDS.format(x="coalesce(text, '')")}) AS BIGINT) AS size,
-    md5('9:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS perm
-  FROM documents
-), s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS sid
-  FROM d GROUP BY source
-), w AS (
-  SELECT *, CASE sid % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, words * 2.0::DOUBLE AS cap FROM s
-), l AS (
-  SELECT *, (1.5::DOUBLE * sum(words) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
-    / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
-), t AS (
-  SELECT source, words AS source_size, least(weight * max(level) OVER (), cap) AS target FROM l
-), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 1e-6) AS BIGINT) AS quota,
-    CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.perm ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size, source_size, target,
-  greatest(0, least(size, quota - pos)) + greatest(0, least(size, quota - pos - source_size)) AS taken
-FROM p
-"""
-
 OP3 = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format(x="coalesce(text, '')")} AS w,
@@ -217,4 +193,4 @@ FROM base LEFT JOIN more USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_search": OP1, "op3_quality": OP3, "op7_licenses": OP7, "op9_mixing": OP9}
+    return {"op1_search": OP1, "op3_quality": OP3, "op7_licenses": OP7}
