@@ -5,20 +5,24 @@ corpus (smaller doc_id, or the same document and an earlier start). Prefix doubl
 positions by ever longer prefixes, pairing the rank of a position with the rank of a later one,
 and leaves out positions whose rank is unique. Three things keep that affordable over whole corpora:
 
-* ranks are names (64-bit hashes of the prefix, paired to 128 bits) instead of sorted ordinals, so
-  a reranking round is one grouped count and a join;
+* ranks are names (64-bit hashes) instead of sorted ordinals, so a reranking round is one grouped
+  minimum and a join, both sorted by Spark;
 * the first round (32 bytes) ranks anchors only. The anchor of a window of ``length`` bytes is its
   smallest 32-byte name, leftmost on ties, so equal windows have equal anchors at equal offsets,
   and a text has about one anchor for each 35 bytes. Anchors with a unique name drop out together
   with all windows that they stand for;
-* the second round pairs an anchor's name with that of everything its windows cover. If all places
+* an anchor's name is then paired with that of everything its windows cover. If all places
   of an anchor agree there, the first place is the original and all windows of the others are
-  repeats. Only where places of one anchor differ, the third round compares their single windows:
-  byte by byte among the (few) differing contexts of a name, and by the pair of names (first 64
-  bytes, last 64 bytes) where a name has very many of them.
+  repeats; so are, where they differ, all but the first place of each such context. Only the windows of these
+  first places are positions of the further rounds.
+
+The further rounds double the prefix: 32 bytes with the 32 bytes at offset 32, 64 with those at offset 64,
+and so on, and last the longest prefix with one of the same length that ends where the window ends. Each
+round sorts the pairs (rank, rank at the offset), gives positions with equal pairs the number of their
+first place as their new rank, and drops positions whose pair is unique.
 
 Frequent passages never gather in one task: each round is a grouped minimum or count, combined
-before its shuffle, and a join that adaptive execution can split.
+before its shuffle and written, and a join that adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -31,17 +35,18 @@ from pyspark.sql import functions as F
 from orrery.llm.text import mix64, prefix_hash, span_hash
 from orrery.plans.storage import cut, drop_cut, small_side, text_batches
 
-FIRST, SECOND = 32, 64
+FIRST = 32
 #: Bytes of a text that are looked at together; longer texts go in overlapping pieces.
 PIECE = 1 << 22
+#: Columns of ``remove_repeats``.
+MADE = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}
 #: Rows of an outgoing Arrow batch, about.
 FLUSH = 200_000
 _LAST = 2**63 - 1
 #: Repeated anchor names that go to the tasks as a sorted array (32 MB); more are joined.
 FILTER_NAMES = 4_000_000
-#: Differing contexts of one anchor name that are compared in one task (some 50 MB); names with
-#: more have their windows compared by name.
-MAX_WAYS = 8192
+#: Texts with positions in the further rounds that go to the tasks; more are joined by a shuffle.
+FEW_TEXTS = 300_000
 
 
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -67,7 +72,7 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         a = np.concatenate(([0], edge + 1))
         b = np.concatenate((edge, [len(owner) - 1]))
         q = owner[a]
-        where = ((q - a) * 4096 + (b - a)).astype(np.uint64)
+        where = ((q - a) * 8192 + (b - a)).astype(np.uint64)
         context = mix64(span_hash(p, a, b + length) + mix64(where))
         found.append((name[q], context, a + at, b + at))
     if not found:
@@ -75,13 +80,14 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     """doc (ids, those without one last), th (0; where ids repeat, the hash of the text, so that
-    rows that share an id but not the text stay apart) and text."""
+    rows that share an id but not the text stay apart), text and row (all columns); and whether ids are unique."""
     text = F.coalesce("text", F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     unique = docs.groupBy(doc.alias("d")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    return docs.withColumns({"__doc": doc, "__th": F.lit(0).cast("long") if unique else F.xxhash64(text), "__text": text})
+    th = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    return docs.select(doc.alias("doc"), th.alias("th"), text.cast("binary").alias("text"), F.struct(*[c for c in docs.columns if c not in MADE]).alias("row")), unique
 
 
 def _column(batch: pa.RecordBatch, name: str):
@@ -101,8 +107,8 @@ def _flushed(batches, make, names, types):
         return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, types, strict=True)], names)
 
     for b in batches:
-        texts = _column(b, "__text").cast(pa.binary())
-        docs, hashes = (_column(b, c).to_numpy(zero_copy_only=False) for c in ("__doc", "__th"))
+        texts = _column(b, "text")
+        docs, hashes = (_column(b, c).to_numpy(zero_copy_only=False) for c in ("doc", "th"))
         for k in range(b.num_rows):
             got = make(_bytes(texts[k]), b, k)
             n = len(got[0])
@@ -122,7 +128,7 @@ def _names(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for b in batches:
             held, size = [], 0
-            for t in _column(b, "__text").cast(pa.binary()):
+            for t in _column(b, "text"):
                 held.append(anchors(_bytes(t), length)[0])
                 size += len(held[-1])
                 if size >= FLUSH:
@@ -131,12 +137,12 @@ def _names(rows: DataFrame, length: int) -> DataFrame:
             if size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["k"])
 
-    return rows.select("__text").mapInArrow(run, "k long")
+    return rows.select("text").mapInArrow(run, "k long")
 
 
 def _places(rows: DataFrame, often: DataFrame, length: int) -> DataFrame:
-    """(doc, th, k, c, ab) of the anchors whose name is in ``often``: name, context, and
-    128 * (first window's start) + (number of windows - 1). Up to FILTER_NAMES names go to the
+    """(doc, th, k, c, a, n) of the anchors whose name is in ``often``: name, context, the first
+    window's start, and the number of windows. Up to FILTER_NAMES names go to the
     tasks as a sorted array (8 bytes each); more are joined."""
     spark = rows.sparkSession
     few = often.count() <= FILTER_NAMES
@@ -155,135 +161,99 @@ def _places(rows: DataFrame, often: DataFrame, length: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(names, k), max(len(names) - 1, 0))
                 ok = names[at] == k if len(names) else np.zeros(len(k), bool)
                 k, context, a, b = k[ok], context[ok], a[ok], b[ok]
-            return k, context.view(np.int64), a * 128 + (b - a)
-
-        yield from _flushed(batches, make, ["doc", "th", "k", "c", "ab"], [np.int64] * 5)
-
-    made = rows.select("__doc", "__th", "__text").mapInArrow(run, "doc long, th long, k long, c long, ab long")
-    return made if few else made.join(often, "k", "left_semi").select("doc", "th", "k", "c", "ab")
-
-
-def _contexts(rows: DataFrame, length: int) -> DataFrame:
-    """(k, doc, th, a, context): the bytes that the windows of a text's listed anchors cover
-    (column ``parts``: array of (k, ab))."""
-
-    def run(batches):
-        for b in batches:
-            texts = _column(b, "__text").cast(pa.binary())
-            docs, hashes, parts = (_column(b, c) for c in ("__doc", "__th", "parts"))
-            out, size = [], 0
-            for i in range(b.num_rows):
-                data, doc, th = texts[i].as_py(), docs[i].as_py(), hashes[i].as_py()
-                v = parts[i].values
-                for k, ab in zip(v.field(0).to_pylist(), v.field(1).to_pylist(), strict=True):
-                    a = ab >> 7
-                    out.append((k, doc, th, a, data[a : a + (ab & 127) + length]))
-                if len(out) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _CONTEXT, strict=True)], ["k", "doc", "th", "a", "context"])
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _CONTEXT, strict=True)], ["k", "doc", "th", "a", "context"])
+            return k, context.view(np.int64), a, b - a + 1
 
-    return rows.select("__doc", "__th", "__text", "parts").mapInArrow(run, "k long, doc long, th long, a int, context binary")
+        yield from _flushed(batches, make, ["doc", "th", "k", "c", "a", "n"], [np.int64] * 4 + [np.int32] * 2)
 
+    made = rows.select("doc", "th", "text").mapInArrow(run, "doc long, th long, k long, c long, a int, n int")
+    return made if few else made.join(often, "k", "left_semi").select("doc", "th", "k", "c", "a", "n")
 
-_CONTEXT = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
+def schedule(length: int) -> list[tuple[int, int]]:
+    """The rounds after the first, as (offset, bytes ranked by the pair): doubled prefixes, then the whole window."""
+    out, k = [], FIRST
+    while k < length:
+        offset = min(k, length - k)
+        out.append((offset, offset + k))
+        k += offset
+    return out
 
-def _later_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """(doc, th, s, e): of the windows in ``contexts`` those that an earlier one equals."""
 
-    def run(batches):
-        at, seen = None, set()
-        for b in batches:
-            out = []
-            for k, doc, th, a, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != at:
-                    at, seen = k, set()
-                run_from = None
-                for j in range(len(context) - length + 1):
-                    w = context[j : j + length]
-                    if w in seen:
-                        if run_from is None:
-                            run_from = j
-                        continue
-                    seen.add(w)
-                    if run_from is not None:
-                        out.append((doc, th, a + run_from, a + j - 1 + length))
-                        run_from = None
-                if run_from is not None:
-                    out.append((doc, th, a + run_from, a + len(context)))
-            columns = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "th", "s", "e"])
-
-    dealt = contexts.repartition("k").sortWithinPartitions("k", "doc", "th", "a")
-    return dealt.mapInArrow(run, "doc long, th long, s int, e int")
-
-
-def _window_rows(rows: DataFrame, length: int) -> DataFrame:
-    """Names of the single windows of a text's listed anchors (column ``parts``: array of (k, ab))."""
+def _windows(rows: DataFrame, places: DataFrame, length: int, unique: bool) -> DataFrame:
+    """(doc, th, s, rank, next): the windows of ``places`` (doc, th, a, n), the name of their first FIRST
+    bytes and, for each further round, the name of what stands at its offset (as many bytes as were
+    ranked before)."""
+    rounds = schedule(length)
+    parts = cut(places.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "n")).alias("parts")), "parts")
+    texts = rows.select("doc", "th", "text")
+    texts = (texts if unique else texts.dropDuplicates(["doc", "th"])).join(small_side(parts, FEW_TEXTS), ["doc", "th"])
 
     def run(batches):
         def make(data, batch, k):
-            parts = _column(batch, "parts")[k].values
-            ab = parts.field(1).to_numpy(zero_copy_only=False)
-            a, n = ab >> 7, (ab & 127) + 1
+            v = _column(batch, "parts")[k].values
+            a, n = (v.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             s = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             s.sort()
-            h1, h2 = np.empty(len(s), np.uint64), np.empty(len(s), np.uint64)
+            names = np.empty((1 + len(rounds), len(s)), np.uint64)
             for at in range(0, len(data), PIECE):
                 lo, hi = np.searchsorted(s, (at, at + PIECE))
                 if hi > lo:
                     p = prefix_hash(data[at : at + PIECE + length])
                     r = s[lo:hi] - at
-                    h1[lo:hi] = span_hash(p, r, r + SECOND)
-                    h2[lo:hi] = span_hash(p, r + length - SECOND, r + length)
-            return h1.view(np.int64), h2.view(np.int64), s
-
-        yield from _flushed(batches, make, ["doc", "th", "h1", "h2", "s"], [np.int64] * 4 + [np.int32])
-
-    return rows.select("__doc", "__th", "__text", "parts").mapInArrow(run, "doc long, th long, h1 long, h2 long, s int")
-
-
-def _listed(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """Texts of ``rows`` that have ``places`` (doc, th, k, ab), with these in a column ``parts``."""
-    parts = cut(places.groupBy("doc", "th").agg(F.collect_list(F.struct("k", "ab")).alias("parts")), "parts")
-    listed = parts.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), "parts")
-    these = rows.join(small_side(listed.select("__doc", "__th")), ["__doc", "__th"], "left_semi").dropDuplicates(["__doc", "__th"])
-    return these.join(listed, ["__doc", "__th"])
-
-
-def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
+                    names[0, lo:hi] = span_hash(p, r, r + FIRST)
+                    for j, (offset, ranked) in enumerate(rounds, 1):
+                        names[j, lo:hi] = span_hash(p, r + offset, r + ranked)
+            return s, *names.view(np.int64)
+
+        names = [f"n{j}" for j in range(1 + len(rounds))]
+        yield from _flushed(batches, make, ["doc", "th", "s", *names], [np.int64, np.int64, np.int32] + [np.int64] * len(names))
+
+    columns = ", ".join(f"n{j} long" for j in range(1 + len(rounds)))
+    made = texts.select("doc", "th", "text", "parts").mapInArrow(run, f"doc long, th long, s int, {columns}")
+    return made.select("doc", "th", "s", F.col("n0").alias("rank"), F.array(*[f"n{j}" for j in range(1, 1 + len(rounds))]).alias("next"))
+
+
+def _doubled(windows: DataFrame, length: int) -> DataFrame:
+    """(doc, th, s): of ``windows`` (see ``_windows``) those that an earlier one equals. One round for each
+    doubling: pairs of ranks are sorted, positions ranked anew by the first place of their pair, and those of a
+    unique pair dropped."""
+    windows = cut(windows, "windows")
+    for j, _ in enumerate(schedule(length)):
+        windows_ = windows.withColumn("at", F.get("next", j))
+        ranks = cut(windows_.groupBy("rank", "at").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "s")).alias("f")).where("n > 1").drop("n"), "ranks")
+        ranked = windows_.join(ranks, ["rank", "at"])
+        new = F.xxhash64("f.doc", "f.th", "f.s").alias("rank")
+        kept = cut(ranked.select("doc", "th", "s", new, "next", F.expr("struct(doc, th, s) <> f").alias("later")), "windows")
+        drop_cut(windows, ranks)
+        windows = kept
+    return windows.where("later").select("doc", "th", "s")
+
+
+def repeated_spans(rows: DataFrame, length: int, unique: bool) -> DataFrame:
     """(doc, th, spans): for each text with repeats, the byte ranges [s, e) that start-earlier
-    strings cover; ranges may overlap. ``rows``: __doc, __th, __text."""
+    strings cover; ranges may overlap. ``rows``: doc, th, text; ``unique``: whether doc is."""
     often = cut(_names(rows, length).groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "names")
     places = cut(_places(rows, often, length), "places")
     drop_cut(often)
-    place = F.struct("doc", "th", "ab")
-    # written, so that the join below stands on plain exchanges and hot names can be split
+    place = F.struct("doc", "th", "a")
+    # each round's grouped table is written, so that the join after it stands on plain exchanges and hot names can be split
     keys = cut(places.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(place).alias("f")), "keys")
-    judged = places.join(keys, "k").where("c0 <> c1 or struct(doc, th, ab) <> f")
-    judged = cut(judged.select("doc", "th", "k", "c", "ab", (F.col("c0") != F.col("c1")).alias("differs")), "judged")
+    judged = places.join(keys, "k").where("c0 <> c1 or struct(doc, th, a) <> f")
+    judged = cut(judged.select("doc", "th", "k", "c", "a", "n", (F.col("c0") != F.col("c1")).alias("differs")), "judged")
     drop_cut(places, keys)
     differing = judged.where("differs")
-    classes = differing.groupBy("k", "c").agg(F.min(place).alias("f"))
-    first = differing.join(classes, ["k", "c"]).withColumn("first", F.expr("struct(doc, th, ab) = f"))
-    first = cut(first.select("doc", "th", "k", "ab", "first"), "first")
-    reps = first.where("first").distinct()
-    ways = reps.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > MAX_WAYS).select("k")
-    hot = small_side(cut(ways, "ways"))
-    contexts = cut(_contexts(_listed(rows, reps.join(hot, "k", "left_anti")), length), "contexts")
-    found = _later_windows(contexts, length)
-    if not hot.isEmpty():
-        windows = cut(_window_rows(_listed(rows, reps.join(hot, "k", "left_semi")), length), "windows")
-        earliest = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "th", "s")).alias("f"), F.count("*").alias("n")).where("n > 1")
-        single = windows.join(earliest, ["h1", "h2"]).where("struct(doc, th, s) <> f")
-        found = found.union(single.select("doc", "th", "s", (F.col("s") + length).alias("e")))
-    start = F.shiftright("ab", 7).cast("int")
-    whole = judged.where("not differs").select("doc", "th", "ab").union(first.where("not first").select("doc", "th", "ab"))
-    whole = whole.select("doc", "th", start.alias("s"), (start + F.col("ab").bitwiseAND(127) + length).cast("int").alias("e"))
-    spans = cut(whole.union(found).groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    drop_cut(judged, first, contexts)
+    classes = cut(differing.groupBy("k", "c").agg(F.min(place).alias("f")), "classes")
+    split = differing.join(classes, ["k", "c"]).select("doc", "th", "a", "n", F.expr("struct(doc, th, a) = f").alias("first"))
+    split = cut(split, "split")
+    drop_cut(classes)
+    # rows equal in id and text have equal places: one of them is enough
+    positions = split.where("first")
+    found = _doubled(_windows(rows, positions if unique else positions.distinct(), length, unique), length)
+    whole = judged.where("not differs").select("doc", "th", "a", "n").union(split.where("not first").select("doc", "th", "a", "n"))
+    whole = whole.select("doc", "th", F.col("a").alias("s"), (F.col("a") + F.col("n") - 1 + length).alias("e"))
+    single = found.select("doc", "th", "s", (F.col("s") + length).alias("e"))
+    spans = cut(whole.union(single).groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    drop_cut(judged, split, found)
     return spans
 
 
@@ -292,27 +262,23 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     removed runs) and kept (the remaining bytes; they may cut a character in two).
 
     Null texts count as empty. Texts shorter than ``length`` bytes lose nothing and give nothing
-    away. Rows without a doc_id come after all others. Rows that share a doc_id but not the text
+    away. Columns named as the new ones are replaced. Rows without a doc_id come after all others. Rows that share a doc_id but not the text
     stand in the order of their texts' hashes; rows that share both are one document, and each
     returns its result. An empty table gives no rows. ``length`` is at least 64.
     """
-    if not SECOND <= length < 4096:
+    if not 2 * FIRST <= length < 4096:
         raise ValueError("length must be from 64 to 4095")
     text_batches(docs.sparkSession)
-    rows = _keyed(docs)
-    spans = repeated_spans(rows.select("__doc", "__th", "__text"), length)
-    own = list(docs.columns)
-    joined = rows.join(spans.toDF("__doc", "__th", "__spans"), ["__doc", "__th"], "left").select(*own, "__text", "__spans")
-    schema = docs.select(*own).schema
-    made = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}
-    names = [c for c in own if c not in made]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name in names] + [f"{k} {v}" for k, v in made.items()])
+    rows, unique = _keyed(docs)
+    spans = repeated_spans(rows.select("doc", "th", "text"), length, unique)
+    joined = rows.join(spans, ["doc", "th"], "left").select("text", "spans", "row")
+    made = ", ".join(f"{k} {v}" for k, v in MADE.items())
 
     def run(batches):
         for b in batches:
             size, gone, runs, kept = [], [], [], []
-            spans_of = _column(b, "__spans")
-            for k, t in enumerate(_column(b, "__text").cast(pa.binary())):
+            spans_of = _column(b, "spans")
+            for k, t in enumerate(_column(b, "text")):
                 data = _bytes(t)
                 size.append(len(data))
                 if not spans_of[k].is_valid:
@@ -329,6 +295,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 runs.append(int((out[1:] & ~out[:-1]).sum()) + int(out[0]))
                 kept.append(data[~out].tobytes())
             new = [pa.array(x, pa.int64()) for x in (size, gone, runs)] + [pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([_column(b, c) for c in names] + new, names + list(made))
+            yield pa.RecordBatch.from_arrays([_column(b, "row"), *new], ["row", *MADE])
 
-    return joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, {made}")
+    return out.select("row.*", *MADE)

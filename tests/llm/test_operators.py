@@ -124,9 +124,9 @@ def brute_repeats(pairs, length):
     return out
 
 
-@pytest.mark.parametrize("ways, names", [(8192, 4_000_000), (1, 4_000_000), (8192, 0)])
-def test_repeats_against_all_windows(docs, empty, monkeypatch, ways, names):
-    monkeypatch.setattr(repeats, "MAX_WAYS", ways)
+@pytest.mark.parametrize("texts, names", [(300_000, 4_000_000), (0, 4_000_000), (300_000, 0)])
+def test_repeats_against_all_windows(docs, empty, monkeypatch, texts, names):
+    monkeypatch.setattr(repeats, "FEW_TEXTS", texts)
     monkeypatch.setattr(repeats, "FILTER_NAMES", names)
     want = brute_repeats([(r.doc_id, r.text) for r in docs.collect()], 100)
     for r in repeats.remove_repeats(docs).collect():
@@ -134,6 +134,29 @@ def test_repeats_against_all_windows(docs, empty, monkeypatch, ways, names):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("length", [64, 65, 100, 129, 160, 200, 400, 1000])
+def test_repeats_of_any_length(spark, length):
+    """Passages around the length, in changing surroundings, shifted, inside periods and in long texts."""
+    rng = np.random.Generator(np.random.PCG64(length))
+    passage = base_text(1, length)
+    data = passage.encode()[: length + 40].decode(errors="ignore")
+    pairs = [(0, base_text(50, 9000))]
+    for i in range(1, 14):
+        at = int(rng.integers(0, 60))
+        size = length + int(rng.integers(-3, 40))
+        pairs.append((i, base_text(100 + i, 30) + data[at : at + size] + base_text(200 + i, 20)))
+    pairs += [(20, "ab" * length), (21, "x" + "ab" * (length // 2 + 30)), (22, pairs[0][1][5000:9000]), (23, pairs[3][1] + pairs[4][1])]
+    want = brute_repeats(pairs, length)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(spark.createDataFrame(pairs, "doc_id long, text string"), length).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 0
+
+
+def test_doubling_rounds():
+    assert repeats.schedule(100) == [(32, 64), (36, 100)]
+    assert repeats.schedule(64) == [(32, 64)]
+    assert repeats.schedule(400) == [(32, 64), (64, 128), (128, 256), (144, 400)]
+
+
 def test_repeats_inside_one_text_and_across_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 300)
     t = base_text(6, 80)
@@ -218,7 +241,7 @@ def test_quality_counts(spark, docs, empty):
 
 
 def test_licenses(spark, docs, empty):
-    mit = licenses.TEMPLATES[0][1]
+    mit = licenses.TEMPLATES[0][3]
     w = mit.split()
     edited = " ".join(w[:20] + ["really"] + w[20:35] + w[37:])
     data = [(1, mit.upper()), (2, "intro " * 30 + edited + " tail" * 9), (3, "the MIT license, mit-License and cc by by CC  BY"), (4, None), (5, ""), (6, " ".join(w[:9])), (None, "Apache License"), (1, mit.upper()), (7, "mıt license \u212Akcc by"), (8, "gnu general public licenses")]
@@ -312,18 +335,90 @@ def test_packing_is_best_fit():
         assert got[i] == b
 
 
+def brute_mix(rows, shards, seed, block):
+    """Targets by sharing again, then blocks and draws by their hashes: {(doc_id, text): (size, source_size, target,
+    [(copy, words)])}; ids are unique."""
+    md5 = lambda *x: hashlib.md5(":".join(map(str, x)).encode()).hexdigest()
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    names = sorted({s for _, _, s in rows if s is not None}) + [None] * any(s is None for _, _, s in rows)
+    words = {s: sum(size[i] for i, _, x in rows if x == s) for s in names}
+    weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(names)}
+    target, open_, left = {}, set(names), 1.5 * sum(words.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level > 2 * words[s]}
+        target |= {s: 2.0 * words[s] for s in full} if full else {s: weight[s] * level for s in open_}
+        left -= sum(2.0 * words[s] for s in full)
+        open_ = open_ - full if full else set()
+    out = {}
+    for sid, s in enumerate(names):
+        h = {i: int(md5(seed, i, t or "")[:15], 16) for i, t, x in rows if x == s}
+        n = max(1, -(-words[s] // block))
+        quota, blocks, takes = int(target[s] + 1e-6), {}, {i: [] for i in h}
+        for i in sorted(h, key=h.get):
+            if size[i]:
+                blocks.setdefault(h[i] % n, []).append(i)
+        for copy in range(2):
+            for b in sorted(blocks, key=lambda b: md5(seed, copy, sid, b)):
+                for i in blocks[b]:
+                    got = min(size[i], quota)
+                    quota -= got
+                    if got:
+                        takes[i].append((copy, got))
+        out |= {i: (size[i], words[s], target[s], takes[i]) for i in h}
+    return out
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_mixing_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    monkeypatch.setattr(mixing, "LEAF_ROWS", 2)
+    rng = np.random.Generator(np.random.PCG64(8))
+    rows = [(i, base_text(i, int(rng.integers(0, 60))), f"s{int(rng.integers(0, 5)) // 2}" if i % 11 else None) for i in range(120)] + [(500, None, "s0"), (501, " ", "s1"), (502, base_text(7, 5000), "s2")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(table, shards=7).collect()}
+    want = brute_mix(rows, 7, 9, block)
+    assert set(got) == set(want)
+    for i, (size, source_size, target, takes) in want.items():
+        r = got[i]
+        assert (r["size"], r.source_size, r.taken) == (size, source_size, sum(w for _, w in takes))
+        assert r.target == pytest.approx(target)
+        assert [(t["copy"], t.words) for t in r.takes] == takes
+    by_seed = mixing.mix(table, shards=7, seed=10).collect()
+    assert {(r.doc_id, r.taken) for r in by_seed} != {(i, r.taken) for i, r in got.items()}
+    assert {(r.doc_id, r.target) for r in by_seed} == {(i, r.target) for i, r in got.items()}
+
+
+def test_shards_draw_disjoint_ranges(spark, monkeypatch):
+    quotas = {0: 1000, 1: 17, 2: 0, 5000: 333}
+    table = spark.createDataFrame(list(quotas.items()), "sid int, n long")
+    one = sorted(tuple(r) for r in mixing.shard_draws(table, 37, 3).collect())
+    monkeypatch.setattr(mixing, "TREE_TOP", 4)
+    assert sorted(tuple(r) for r in mixing.shard_draws(table, 37, 3).collect()) == one
+    for sid, n in quotas.items():
+        drawn = [d for s, _, first, k in one if s == sid for d in range(first, first + k)]
+        assert sorted(drawn) == list(range(n))
+    assert {s for _, s, _, _ in one} == set(range(37))
+    assert sorted(tuple(r) for r in mixing.shard_draws(table, 37, 4).collect()) != one
+
+
 def test_mixing(docs, empty, spark):
     got = mixing.mix(docs, shards=4).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r.target, []).append(r)
-        assert r.taken == sum(t.words for t in r.takes) <= 2 * r["size"]
-    total = sum(r["size"] for r in got)
-    taken = sum(r.taken for r in got)
-    assert abs(taken - 1.5 * total) <= 5
-    again = {(r.doc_id, r.taken) for r in mixing.mix(docs.repartition(3), shards=4).collect()}
-    assert again == {(r.doc_id, r.taken) for r in got}
-    assert mixing.mix(empty).count() == 0
+    assert len(got) == docs.count()
+    assert all(r.taken == sum(t.words for t in r.takes) <= 2 * r["size"] for r in got)
+    assert {t.shard for r in got for t in r.takes} <= set(range(4))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r["size"], r.taken, [(t["copy"], t.words, t.shard, t.place) for t in r.takes])
+    again = mixing.mix(docs.repartition(3), shards=4).collect()
+    assert sorted(map(key, again)) == sorted(map(key, got))
+    clash = docs.selectExpr("doc_id", "text", "source", "1 as target", "2 as sid", "3 as block", "4 as h", "5 as draw", "6 as of", "7 as node")
+    kept = mixing.mix(clash, shards=4, keep_rows=True)
+    assert kept.columns == ["doc_id", "text", "source", "sid", "block", "h", "draw", "of", "node", *mixing.MADE]
+    assert sorted((r.doc_id or -1, r.taken) for r in kept.collect()) == sorted((r.doc_id or -1, r.taken) for r in got)
+    # rows equal in id and text take equal parts, whatever else they hold
+    twins = spark.createDataFrame([(1, "a b c d e f", s, k) for s in ("x", "y") for k in range(8)] + [(2, base_text(1, 500), "z", 0)], "doc_id long, text string, source string, k int")
+    got = mixing.mix(twins, keep_rows=True).collect()
+    assert all(len({r.taken for r in got if r.source == s}) == 1 for s in ("x", "y"))
+    assert mixing.mix(empty).count() == 0 and mixing.mix(empty, keep_rows=True).count() == 0
 
 
 def test_targets_by_sharing_again(spark):
@@ -347,8 +442,10 @@ def test_targets_by_sharing_again(spark):
 
 def test_splitting_tree_is_exact():
     q = np.array([100, 7, 0, 993])
-    m = mixing.split_quotas(q, 8, 1)
+    nodes = list(mixing.split_quotas(q, np.zeros(4, np.int64), 0, 8, 1, 1))
+    m = np.array([have for _, _, have, _ in nodes])
     assert (m.sum(0) == q).all() and m.sum(1).max() - m.sum(1).min() <= 3 and (m >= 0).all()
+    assert [at for at, _, _, _ in nodes] == list(range(8)) and (np.cumsum(m, 0) - m == np.array([first for _, _, _, first in nodes])).all()
 
 
 def test_levenshtein_trie():
