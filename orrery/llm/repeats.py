@@ -19,7 +19,10 @@ and leaves out positions whose rank is unique. Three things keep that affordable
 The further rounds double the prefix: 32 bytes with the 32 bytes at offset 32, 64 with those at offset 64,
 and so on, and last the longest prefix with one of the same length that ends where the window ends. Each
 round sorts the pairs (rank, rank at the offset), gives positions with equal pairs the number of their
-first place as their new rank, and drops positions whose pair is unique.
+first place as their new rank, and drops positions whose pair is unique. Equal windows share their anchor's
+name, so Spark sorts these contexts by it and the rounds run over the names of a batch, on some
+bytes for each window instead of a shuffled row; a name with over MAX_WINDOWS windows is ranked by the same
+rounds over shuffled rows.
 
 Frequent passages never gather in one task: each round is a grouped minimum or count, combined
 before its shuffle and written, and a join that adaptive execution can split.
@@ -45,8 +48,8 @@ FLUSH = 200_000
 _LAST = 2**63 - 1
 #: Repeated anchor names that go to the tasks as a sorted array (32 MB); more are joined.
 FILTER_NAMES = 4_000_000
-#: Texts with positions in the further rounds that go to the tasks; more are joined by a shuffle.
-FEW_TEXTS = 300_000
+#: Windows of one anchor name that are ranked in one task (some 50 MB); names with more are ranked by Spark.
+MAX_WINDOWS = 500_000
 
 
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -179,14 +182,118 @@ def schedule(length: int) -> list[tuple[int, int]]:
     return out
 
 
-def _windows(rows: DataFrame, places: DataFrame, length: int, unique: bool) -> DataFrame:
-    """(doc, th, s, rank, next): the windows of ``places`` (doc, th, a, n), the name of their first FIRST
+def _listed(rows: DataFrame, places: DataFrame, unique: bool) -> DataFrame:
+    """Texts of ``rows`` that have ``places`` (doc, th, k, a, n), with these in a column ``parts``."""
+    parts = cut(places.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("a", "n", "k"))).alias("parts")), "parts")
+    texts = rows if unique else rows.dropDuplicates(["doc", "th"])
+    return texts.join(parts, ["doc", "th"])
+
+
+def _contexts(texts: DataFrame, length: int) -> DataFrame:
+    """(k, doc, th, a, context): the bytes that the windows of a text's listed anchors cover."""
+    names = ["k", "doc", "th", "a", "context"]
+
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            doc, th, k, a, pieces, ends = (np.concatenate(x) for x in zip(*held, strict=True))
+            offsets = np.concatenate(([0], np.cumsum(ends))).astype(np.int32)
+            context = pa.BinaryArray.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(offsets), pa.py_buffer(pieces)])
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(doc), pa.array(th), pa.array(a), context], names)
+
+        for b in batches:
+            docs, hashes, parts = (_column(b, c) for c in ("doc", "th", "parts"))
+            for i, t in enumerate(_column(b, "text")):
+                data, v = _bytes(t), parts[i].values
+                a, n, k = (v.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                ends = n.astype(np.int64) + length - 1
+                at = np.repeat(a - np.concatenate(([0], np.cumsum(ends)[:-1])), ends) + np.arange(ends.sum())
+                held.append((np.full(len(a), docs[i].as_py()), np.full(len(a), hashes[i].as_py()), k, a, data[at], ends))
+                size += len(at)
+                if size >= 8 * FLUSH:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return texts.select("doc", "th", "text", "parts").mapInArrow(run, "k long, doc long, th long, a int, context binary")
+
+
+def later_windows(data: np.ndarray, starts: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Whether an earlier window equals a window, for the windows at starts[i] .. starts[i] + n[i] - 1 of
+    ``data``, by the rounds of ``schedule``. The order of the windows is that of the places."""
+    p = prefix_hash(data)
+    pos = np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    alive = np.arange(len(pos))
+    rank = span_hash(p, pos, pos + FIRST)
+    first = alive
+    for offset, ranked in schedule(length):
+        at = pos[alive]
+        follows = span_hash(p, at + offset, at + ranked)
+        order = np.lexsort((follows, rank))
+        r, x = rank[order], follows[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
+        of = np.cumsum(new) - 1
+        alive, first = alive[order], alive[order][new][of]
+        often = np.bincount(of)[of] > 1 if len(of) else new
+        alive, first = alive[often], first[often]
+        back = np.argsort(alive)
+        alive, first = alive[back], first[back]
+        rank = first
+    out = np.zeros(len(pos), bool)
+    out[alive[alive != first]] = True
+    return out
+
+
+def _later_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """(doc, th, s, e): runs of the windows in ``contexts`` that an earlier one equals."""
+
+    def ranked(t: pa.Table) -> pa.RecordBatch:
+        context = t.column("context").combine_chunks()
+        context = context.chunk(0) if isinstance(context, pa.ChunkedArray) else context
+        _, offsets, data = context.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[context.offset : context.offset + len(context) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+        starts, n = offsets[:-1] - offsets[0], np.diff(offsets) - length + 1
+        later = later_windows(data, starts, n, length)
+        owner = np.repeat(np.arange(len(n)), n)
+        edge = np.ones(len(owner), bool)
+        edge[1:] = owner[1:] != owner[:-1]
+        begins = np.flatnonzero(later & (edge | ~np.concatenate(([False], later[:-1]))))
+        ends = np.flatnonzero(later & np.concatenate((edge[1:] | ~later[1:], [True])))
+        base = np.concatenate(([0], np.cumsum(n)[:-1]))
+        doc, th, a = (t.column(c).to_numpy() for c in ("doc", "th", "a"))
+        o = owner[begins]
+        columns = (doc[o], th[o], (a[o] + begins - base[o]).astype(np.int32), (a[o] + ends - base[o] + length).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "th", "s", "e"])
+
+    def run(batches):
+        held, size = None, 0
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            size += b.nbytes
+            if size >= 8 * FLUSH:
+                k = held.column("k").to_numpy()
+                whole = int(np.searchsorted(k, k[-1]))
+                if whole:
+                    yield ranked(held.slice(0, whole))
+                    held = held.slice(whole).combine_chunks()
+                size = 0 if whole else size
+        if held is not None and held.num_rows:
+            yield ranked(held)
+
+    dealt = contexts.repartition("k").sortWithinPartitions("k", "doc", "th", "a")
+    return dealt.mapInArrow(run, "doc long, th long, s int, e int")
+
+
+def _windows(texts: DataFrame, length: int) -> DataFrame:
+    """(doc, th, s, rank, next): the windows of a text's listed anchors, the name of their first FIRST
     bytes and, for each further round, the name of what stands at its offset (as many bytes as were
     ranked before)."""
     rounds = schedule(length)
-    parts = cut(places.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "n")).alias("parts")), "parts")
-    texts = rows.select("doc", "th", "text")
-    texts = (texts if unique else texts.dropDuplicates(["doc", "th"])).join(small_side(parts, FEW_TEXTS), ["doc", "th"])
 
     def run(batches):
         def make(data, batch, k):
@@ -219,9 +326,9 @@ def _doubled(windows: DataFrame, length: int) -> DataFrame:
     unique pair dropped."""
     windows = cut(windows, "windows")
     for j, _ in enumerate(schedule(length)):
-        windows_ = windows.withColumn("at", F.get("next", j))
-        ranks = cut(windows_.groupBy("rank", "at").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "s")).alias("f")).where("n > 1").drop("n"), "ranks")
-        ranked = windows_.join(ranks, ["rank", "at"])
+        pairs = windows.withColumn("at", F.get("next", j))
+        ranks = cut(pairs.groupBy("rank", "at").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "s")).alias("f")).where("n > 1").drop("n"), "ranks")
+        ranked = pairs.join(ranks, ["rank", "at"])
         new = F.xxhash64("f.doc", "f.th", "f.s").alias("rank")
         kept = cut(ranked.select("doc", "th", "s", new, "next", F.expr("struct(doc, th, s) <> f").alias("later")), "windows")
         drop_cut(windows, ranks)
@@ -243,17 +350,23 @@ def repeated_spans(rows: DataFrame, length: int, unique: bool) -> DataFrame:
     drop_cut(places, keys)
     differing = judged.where("differs")
     classes = cut(differing.groupBy("k", "c").agg(F.min(place).alias("f")), "classes")
-    split = differing.join(classes, ["k", "c"]).select("doc", "th", "a", "n", F.expr("struct(doc, th, a) = f").alias("first"))
+    split = differing.join(classes, ["k", "c"]).select("doc", "th", "k", "a", "n", F.expr("struct(doc, th, a) = f").alias("first"))
     split = cut(split, "split")
     drop_cut(classes)
     # rows equal in id and text have equal places: one of them is enough
-    positions = split.where("first")
-    found = _doubled(_windows(rows, positions if unique else positions.distinct(), length, unique), length)
+    positions = split.where("first") if unique else split.where("first").distinct()
+    hot = cut(positions.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > MAX_WINDOWS).select("k"), "hot")
+    many = small_side(hot)
+    contexts = cut(_contexts(_listed(rows, positions.join(many, "k", "left_anti"), unique), length), "contexts")
+    found = cut(_later_windows(contexts, length), "found")
+    drop_cut(contexts)
+    if not hot.isEmpty():
+        windows = _windows(_listed(rows, positions.join(many, "k", "left_semi"), unique), length)
+        found = found.union(_doubled(windows, length).select("doc", "th", "s", (F.col("s") + length).alias("e")))
     whole = judged.where("not differs").select("doc", "th", "a", "n").union(split.where("not first").select("doc", "th", "a", "n"))
     whole = whole.select("doc", "th", F.col("a").alias("s"), (F.col("a") + F.col("n") - 1 + length).alias("e"))
-    single = found.select("doc", "th", "s", (F.col("s") + length).alias("e"))
-    spans = cut(whole.union(single).groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    drop_cut(judged, split, found)
+    spans = cut(whole.union(found).groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    drop_cut(judged, split, hot)
     return spans
 
 

@@ -124,9 +124,9 @@ def brute_repeats(pairs, length):
     return out
 
 
-@pytest.mark.parametrize("texts, names", [(300_000, 4_000_000), (0, 4_000_000), (300_000, 0)])
-def test_repeats_against_all_windows(docs, empty, monkeypatch, texts, names):
-    monkeypatch.setattr(repeats, "FEW_TEXTS", texts)
+@pytest.mark.parametrize("windows, names", [(500_000, 4_000_000), (1, 4_000_000), (500_000, 0)])
+def test_repeats_against_all_windows(docs, empty, monkeypatch, windows, names):
+    monkeypatch.setattr(repeats, "MAX_WINDOWS", windows)
     monkeypatch.setattr(repeats, "FILTER_NAMES", names)
     want = brute_repeats([(r.doc_id, r.text) for r in docs.collect()], 100)
     for r in repeats.remove_repeats(docs).collect():
@@ -134,9 +134,12 @@ def test_repeats_against_all_windows(docs, empty, monkeypatch, texts, names):
     assert repeats.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("length", [64, 65, 100, 129, 160, 200, 400, 1000])
-def test_repeats_of_any_length(spark, length):
+@pytest.mark.parametrize("windows", [500_000, 100])
+@pytest.mark.parametrize("length", [64, 65, 100, 160, 200, 400, 1000])
+def test_repeats_of_any_length(spark, monkeypatch, length, windows):
     """Passages around the length, in changing surroundings, shifted, inside periods and in long texts."""
+    monkeypatch.setattr(repeats, "MAX_WINDOWS", windows)
+    monkeypatch.setattr(repeats, "FLUSH", 1000)
     rng = np.random.Generator(np.random.PCG64(length))
     passage = base_text(1, length)
     data = passage.encode()[: length + 40].decode(errors="ignore")
