@@ -1,7 +1,7 @@
 """Toxicity scores from a learned lexicon, matched with Levenshtein automata.
 
-Lexicon: counts over all labelled training documents pick the words and word beginnings that
-occur in toxic documents far more often than chance allows. The terms form a trie; intersected
+Lexicon: counts over all labelled training documents, copies counted once, pick the words and word beginnings that
+occur in toxic documents far more often than chance allows and that explain labels which no stronger term explains. The terms form a trie; intersected
 with the Levenshtein automaton of a word it gives all terms within one edit. The product automaton
 is built lazily, state by state, and most words leave it after three or four characters.
 
@@ -22,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.plans.storage import small_side, text_batches
+from orrery.plans.storage import cut, drop_cut, small_side, text_batches
 
-# Insults that are terms even without labels, and words that mark context.
-SEED_TERMS = ("idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "loser", "losers", "pathetic", "worthless", "disgusting", "clown", "clowns")
+# Words that mark context.
 ADDRESS = frozenset("you your you're ur du dich dein deine tu toi vous ton ta te ti tú eres usted".split())
 REPORTING = frozenset(
     "said says wrote writes called quote quoted quotes term word phrase insult sagte schrieb nannte zitat wort dit écrit appelé citation mot dijo escribió llamó cita palabra".split()
@@ -38,8 +37,6 @@ WINDOW = 8
 STEMS = range(4, 8)
 #: A term occurs in at least this share of the toxic training documents, which bounds their number.
 SUPPORT = 0.004
-#: Terms of the lexicon at most: the size of the model, strongest evidence first.
-LEXICON = 4000
 #: Share of the toxic documents from which a pure term counts as common, and the least share of
 #: otherwise unexplained ones for which a term is taken in.
 COMMON, RARE = 0.05, 0.002
@@ -59,8 +56,8 @@ class Lexicon:
 
     terms: dict[tuple[str, bool], float]
     children: list[dict[str, int]] = field(default_factory=lambda: [{}])
-    ends: dict[int, tuple[float, int, bool]] = field(default_factory=dict)
-    words: dict[int, tuple[float, int, bool]] = field(default_factory=dict)
+    stems: dict[int, tuple[float, int]] = field(default_factory=dict)
+    words: dict[int, tuple[float, int]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for (term, is_stem), weight in sorted(self.terms.items()):
@@ -72,17 +69,14 @@ class Lexicon:
                     self.children[node][c] = nxt
                     self.children.append({})
                 node = nxt
-            if not is_stem:
-                self.words[node] = (weight, len(term), False)
-            old = self.ends.get(node)
-            if old is None or is_stem or not old[2]:
-                self.ends[node] = (weight, len(term), is_stem)
+            (self.stems if is_stem else self.words)[node] = (weight, len(term))
         self.letters = {c for kids in self.children for c in kids}
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
-        self.accepts: list[tuple[float, bool] | None] = []
-        self.final: list[bool] = []
+        #: by state, the best weight of terms spelled exactly and of terms within reach of an edit; 0: none
+        self.stem_at: list[tuple[float, float] | None] = []
+        self.word_at: list[tuple[float, float] | None] = []
         self.start = self._state({(0, 0)})
         self.seen: dict[str, tuple[float, bool] | None] = {}
 
@@ -101,11 +95,10 @@ class Lexicon:
             self.ids[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-            exact = [self.ends[n] for n, e in key if e == 0 and n in self.ends]
-            near = [x for n, e in key if e for x in (self.ends.get(n), self.words.get(n)) if x]
-            near = [x for x in near if x[1] >= (FUZZY_STEM if x[2] else FUZZY_TERM)]
-            self.final.append(any(x[2] for x in exact))
-            self.accepts.append((max(exact)[0], True) if exact else (max(near)[0] * FUZZY_WEIGHT, False) if near else None)
+            for ends, least, out in ((self.stems, FUZZY_STEM, self.stem_at), (self.words, FUZZY_TERM, self.word_at)):
+                exact = max((ends[n][0] for n, e in key if e == 0 and n in ends), default=0.0)
+                near = max((ends[n][0] for n, e in key if e and n in ends and ends[n][1] >= least), default=0.0)
+                out.append((exact, near) if exact or near else None)
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -126,19 +119,20 @@ class Lexicon:
         """(weight, whether spelled exactly) of the best term for a word, None without any."""
         if word in self.seen:
             return self.seen[word]
-        state, letters, moves, final = self.start, self.letters, self.moves, self.final
-        fuzzy_stem = None
+        state, letters, moves, stem_at = self.start, self.letters, self.moves, self.stem_at
+        exact = near = 0.0
         for c in word:
             if c not in letters:
                 c = ""
             nxt = moves[state].get(c)
             state = self._step(state, c) if nxt is None else nxt
-            if state < 0 or final[state]:
+            if state < 0:
                 break
-            if (a := self.accepts[state]) and not a[1] and any(self.ends[n][2] for n, e in self.states[state] if n in self.ends and e):
-                fuzzy_stem = a
-        found = self.accepts[state] if state >= 0 else None
-        found = found or fuzzy_stem
+            if got := stem_at[state]:
+                exact, near = max(exact, got[0]), max(near, got[1])
+        if state >= 0 and (got := self.word_at[state]):
+            exact, near = max(exact, got[0]), max(near, got[1])
+        found = (exact, True) if exact else (near * FUZZY_WEIGHT, False) if near else None
         if len(self.seen) > 500_000:
             self.seen.clear()
         self.seen[word] = found
@@ -227,9 +221,8 @@ def learn_lexicon(labelled: DataFrame) -> tuple[dict[tuple[str, bool], float], d
     FUZZY_TERM letters for which a stem stands among them: a misspelling is found by the word only."""
     total = labelled.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
     toxic, n = int(total.toxic or 0), int(total.n)
-    terms, words = {(t, False): 3.0 for t in SEED_TERMS}, {}
     if not 0 < toxic < n:
-        return terms, words
+        return {}, {}
     least = max(3, math.ceil(SUPPORT * toxic))
     # at most (terms of a document) / SUPPORT of them reach that support
     wanted = frozenset((r.term, r.stem) for r in _count_terms(labelled.where("toxic = 1"), None).where(F.col("n") >= least).toLocalIterator())
@@ -241,50 +234,60 @@ def learn_lexicon(labelled: DataFrame) -> tuple[dict[tuple[str, bool], float], d
         if (tail := _tail(r.toxic, r.n, base)) < chance:
             odds = math.log((r.toxic + 0.5) / (r.n - r.toxic + 0.5)) - math.log(base / (1 - base))
             if odds >= 2:
-                scored.append((tail, r.term, r.stem, min(odds, 6.0), r.toxic / r.n))
+                scored.append((tail, r.term, r.stem, min(odds, 6.0), r.toxic, r.n))
     scored.sort()
     # a stem stands for all words that begin with it unless these are clearly purer
-    stems = {t: share for _, t, s, _, share in scored if s}
-    for _, term, is_stem, odds, share in scored:
-        shorter = [stems[term[:k]] for k in range(STEMS.start, len(term)) if term[:k] in stems]
-        if not shorter or share > max(shorter) + 0.02:
-            if len(terms) < LEXICON:
-                terms[term, is_stem] = odds
+    stems = {t: k / m for _, t, is_stem, _, k, m in scored if is_stem}
+    terms, words = [], {}
+    for _, term, is_stem, odds, k, m in scored:
+        shorter = [stems[term[:i]] for i in range(STEMS.start, len(term)) if term[:i] in stems]
+        if not shorter or k / m > max(shorter) + 0.02:
+            terms.append((term, is_stem, odds, k, m - k))
         elif not is_stem and len(term) >= FUZZY_TERM:
             words[term, False] = odds
-    return terms, words
-
-
-def cover(terms: dict[tuple[str, bool], float], rows: list[tuple[list[int], int]]) -> dict[tuple[str, bool], float]:
-    """The terms that explain the labels: greedily the one that covers most toxic documents that
-    no chosen term covers, while these outnumber its clean documents and are not just a few; then
-    all that are common (COMMON of the toxic documents) and pure. Words that only travel along in
-    copies of a toxic text explain nothing more and drop out; seed terms stay."""
-    names = list(terms)
-    toxic_of: dict[int, set[int]] = {}
-    clean_of = Counter()
-    n_toxic = 0
-    for i, (ids, y) in enumerate(rows):
-        n_toxic += y
-        for t in ids:
-            if y:
-                toxic_of.setdefault(t, set()).add(i)
-            else:
-                clean_of[t] += 1
-    chosen = {k: v for k, v in terms.items() if not k[1] and k[0] in SEED_TERMS}
-    pure = {t: docs for t, docs in toxic_of.items() if len(docs) > 20 * clean_of[t]}
-    chosen |= {names[t]: terms[names[t]] for t, docs in pure.items() if len(docs) >= max(3, COMMON * n_toxic)}
-    covered = set().union(*[docs for t, docs in toxic_of.items() if names[t] in chosen])
-    left = {t: docs - covered for t, docs in toxic_of.items()}
-    least = max(3, math.ceil(RARE * n_toxic))
-    while left:
-        t = max(left, key=lambda t: (len(left[t]) - 5 * clean_of[t], -t))
-        got = left.pop(t)
-        if len(got) < least or len(got) <= 5 * clean_of[t]:
+    return explaining(labelled.where("toxic = 1"), terms, toxic), words
+
+
+def explaining(toxic: DataFrame, terms: list[tuple[str, bool, float, int, int]], n: int) -> dict[tuple[str, bool], float]:
+    """Of ``terms`` (term, whether a stem, weight, toxic and clean documents; strongest evidence first) those
+    that explain the ``n`` texts of ``toxic``: all that are common (COMMON of them) and pure; then, in rounds, each
+    text without a chosen term votes for its term in most such texts (less five for each clean one, ties to the stronger
+    evidence), and a term is chosen if its votes outnumber its clean documents and are not just a few. The
+    rounds end when one chooses none. Words that only travel along in copies of a toxic text explain nothing
+    more and drop out."""
+    place = {(term, is_stem): i for i, (term, is_stem, _, _, _) in enumerate(terms)}
+    clean = [t[4] for t in terms]
+
+    def held(batches):
+        for b in batches:
+            got = [sorted(place[k] for k in _terms(t) if k in place) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32()))], ["ids"])
+
+    table = cut(toxic.select("text").mapInArrow(held, "ids array<int>"), "explained")
+
+    def summed(pick) -> dict[int, int]:
+        """How often ``pick`` gives a term, over all texts."""
+
+        def run(batches):
+            for b in batches:
+                got = Counter(i for ids in b.column(0).to_pylist() for i in pick(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array(list(got.values()), pa.int64())], ["i", "n"])
+
+        return {r.i: r.n for r in table.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+
+    chosen = {i for i, (_, _, _, k, c) in enumerate(terms) if k > 20 * c and k >= max(3, COMMON * n)}
+    least = max(3, math.ceil(RARE * n))
+    while True:
+        done = frozenset(chosen)
+        left = summed(lambda ids, done=done: ids if done.isdisjoint(ids) else ())
+        worth = {i: (k - 5 * clean[i], -i) for i, k in left.items()}
+        votes = summed(lambda ids, done=done, worth=worth: [max(ids, key=worth.__getitem__)] if ids and done.isdisjoint(ids) else ())
+        new = {i for i, k in votes.items() if k >= least and k > 5 * clean[i]}
+        if not new:
             break
-        chosen[names[t]] = terms[names[t]]
-        left = {u: docs - got for u, docs in left.items()}
-    return chosen
+        chosen |= new
+    drop_cut(table)
+    return {terms[i][:2]: terms[i][2] for i in sorted(chosen)}
 
 
 @dataclass
@@ -325,50 +328,50 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: list[float]) -> list[float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): the lexicon from all
-    labelled rows, coefficients from a hash sample of at most about SAMPLE_ROWS of them."""
+    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): the lexicon and the misspellings that it
+    ignores from all labelled texts, coefficients from a hash sample of at most about SAMPLE_ROWS of them.
+    Without labels of both kinds there are no terms, and all texts score alike, below 0.5."""
     text_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    copies = docs.select("doc_id", F.xxhash64("text").alias("th")).join(small_side(known), "doc_id")
+    # one document for each text, with the label that most of its copies have
+    known = cut(copies.groupBy("th").agg(F.min("doc_id").alias("doc_id"), (F.avg("toxic") > 0.5).cast("int").alias("toxic")).drop("th"), "labels")
+    n = known.count()
     labelled = docs.select("doc_id", "text").join(small_side(known), "doc_id").select("doc_id", "text", "toxic")
     terms, words = learn_lexicon(labelled)
-    n = known.count()
-    share = min(1.0, SAMPLE_ROWS / max(n, 1))
-    some = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-
-    order = {k: i for i, k in enumerate(terms)}
-
-    def held(batches):
-        known = frozenset(order)
-        for b in batches:
-            got = [[order[k] for k in _terms(t) & known] for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), b.column(1).cast(pa.int32())], ["ids", "y"])
-
-    some = some.select("text", "toxic")
-    terms = cover(terms, [(r.ids, r.y) for r in some.mapInArrow(held, "ids array<int>, y int").collect()])
     stems = {t for t, is_stem in terms if is_stem}
     terms = {k: v for k, v in words.items() if any(k[0][:n] in stems for n in STEMS)} | terms
+    if not terms:
+        return Model({}, DEFAULT, frozenset())
+
+    def misspelled(batches):
+        lexicon = Lexicon(terms)
+        for b in batches:
+            odd, bad = Counter(), Counter()
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = features(text, lexicon)[1]
+                odd.update(got)
+                if y:
+                    bad.update(got)
+            yield pa.RecordBatch.from_arrays([pa.array(list(odd), pa.string()), pa.array([bad[w] for w in odd], pa.int64()), pa.array(list(odd.values()), pa.int64())], ["word", "toxic", "n"])
+
+    # words within an edit of a term, which bounds their number, that are more often clean than toxic
+    odd = labelled.select("text", "toxic").mapInArrow(misspelled, "word string, toxic long, n long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    ignored = frozenset(r.word for r in odd.where("n > 2 * toxic").select("word").collect())
 
     def run(batches):
         lexicon = Lexicon(terms)
         for b in batches:
-            got = [features(t, lexicon) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in got], pa.list_(pa.float64())), pa.array([sorted(x[1]) for x in got], pa.list_(pa.string())), b.column(1).cast(pa.int32())],
-                ["x", "odd", "y"],
-            )
+            got = [features(t, lexicon, ignored)[0] for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), b.column(1).cast(pa.int32())], ["x", "y"])
 
-    rows = some.mapInArrow(run, "x array<double>, odd array<string>, y int").collect()
+    share = min(1.0, SAMPLE_ROWS / max(n, 1))
+    some = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "toxic")
+    rows = some.mapInArrow(run, "x array<double>, y int").collect()
     y = np.array([r.y for r in rows], float)
     if not len(y) or y.min() == y.max():
-        return Model(terms, DEFAULT, frozenset())
-    bad, good = Counter(), Counter()
-    for r in rows:
-        (bad if r.y else good).update(r.odd)
-    ignored = frozenset(w for w, k in good.items() if k > bad[w])
-    x = np.array([r.x for r in rows])
-    alone = np.array([bool(r.odd) and ignored.issuperset(r.odd) and r.x[2] == 0 for r in rows])
-    x[alone] = 0.0
-    return Model(terms, logistic(x, y, DEFAULT), ignored)
+        return Model(terms, DEFAULT, ignored)
+    return Model(terms, logistic(np.array([r.x for r in rows]), y, DEFAULT), ignored)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

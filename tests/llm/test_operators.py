@@ -470,6 +470,75 @@ def test_levenshtein_trie():
             assert bool(found) == (distance(w, "idiot") <= 1), w
 
 
+def edits(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
+    return d[-1]
+
+
+def brute_match(terms, w):
+    """The best weight of a term spelled exactly (a stem: the word begins with it), else of one within an edit."""
+    exact = [v for (t, is_stem), v in terms.items() if (w.startswith(t) if is_stem else w == t)]
+    if exact:
+        return max(exact), True
+    near = [v for (t, is_stem), v in terms.items() if not is_stem and len(t) >= toxicity.FUZZY_TERM and edits(w, t) <= 1]
+    near += [v for (t, is_stem), v in terms.items() if is_stem and len(t) >= toxicity.FUZZY_STEM and any(edits(w[:k], t) <= 1 for k in range(len(w) + 1))]
+    return (max(near) * toxicity.FUZZY_WEIGHT, False) if near else None
+
+
+def brute_features(text, terms):
+    lower = text.lower()
+    spans = [m.span() for m in re.finditer(r"[^\W_]+", lower)]
+    words = [lower[a:b] for a, b in spans]
+    hits = [(i, brute_match(terms, w)) for i, w in enumerate(words)]
+    weights = {}
+    for i, m in hits:
+        if m:
+            value, around = m[0], words[max(0, i - 8) : i + 9]
+            before, after = lower[spans[max(0, i - 8)][0] : spans[i][0]], lower[spans[i][1] : spans[min(len(words) - 1, i + 8)][1] + 1]
+            quoted = sum(c in toxicity.OPENING for c in before) % 2 == 1 or before[-1:] and before[-1] in toxicity.OPENING
+            value *= 0.4 if quoted and any(c in after for c in toxicity.CLOSING) else 1
+            value *= 0.6 if toxicity.REPORTING & set(around) else 1
+            value *= 1.2 if toxicity.ADDRESS & set(around) else 1
+            weights[i] = value
+    total, exact = sum(weights.values()), sum(1 for _, m in hits if m and m[1])
+    window = max((sum(v for j, v in weights.items() if i <= j <= i + 16) for i in weights), default=0)
+    return [np.log1p(x) for x in (total, window, exact, len(weights) - exact, 100 * total / (len(words) + 50))]
+
+
+def test_features_against_brute_force():
+    terms = {("idio", True): 2.0, ("idiots", False): 6.0, ("scum", False): 3.0, ("pathetic", False): 4.0, ("worthles", True): 2.5, ("trash", False): 1.5}
+    lex = toxicity.Lexicon(terms)
+    assert lex.match("idiots") == (6.0, True) and lex.match("idiotic") == (2.0, True)
+    pool = [*"idiots idiot idiotic 1diots idios scum scums scm pathetic pathetik pathet worthless worhless wortless w0rthlessly trash trach tash you said quote word".split(), *base_text(4, 30).split()]
+    for w in pool:
+        assert lex.match(w) == brute_match(terms, w), w
+    rng = np.random.Generator(np.random.PCG64(5))
+    for k in range(300):
+        words = [str(rng.choice(pool)) for _ in range(int(rng.integers(1, 70)))]
+        text = "".join(w + str(rng.choice([" ", " ", " ", ' "', '" ', " “", "” ", ". ", "_"])) for w in words)
+        got = toxicity.features(text, lex)[0]
+        assert np.allclose(got, brute_features(text, terms)), (k, text)
+
+
+def test_copied_words_and_long_texts(spark):
+    """A text of many copies counts once; repeated rows, long texts and clashing columns keep their rows."""
+    clean = [(i, base_text(2000 + i, 30), 0) for i in range(200)]
+    bad = [(1000 + i, base_text(3000 + i, 15) + " grumfel " + base_text(4000 + i, 15), 1) for i in range(60)]
+    copies = [(2000 + i, "unlucky bystander words " + clean[0][1], int(i < 20)) for i in range(50)]
+    rows = clean + bad + copies
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), labels)
+    assert ("grumfel", False) in model.lexicon and not any(t.startswith(("unlucky", "bystander")) for t, _ in model.lexicon)
+    long = base_text(9, 20_000) + " grumfel" * 50
+    table = spark.createDataFrame([(1, long, "a"), (1, long, "b"), (2, None, "c")], "doc_id long, text string, predicted string")
+    got = toxicity.score(table, model).collect()
+    assert len(got) == 3 and sorted(r.predicted for r in got) == [0, 1, 1]
+
+
 def test_context_lowers_quotations():
     lex = toxicity.Lexicon({("idiot", False): 4.0})
     plain = toxicity.features("you are an idiot today", lex)[0]
