@@ -40,8 +40,9 @@ BANDS, ROWS = 32, 4
 M = BANDS * ROWS
 #: Bands for texts whose bucket holds several components after the comparison with its centre.
 FINE_BANDS, FINE_ROWS = 110, 8
-#: Shingles of an inverted index in which such texts are looked up, about.
-BLOCK_SHINGLES = 1_000_000
+#: Shingles of an inverted index in which such texts are looked up, about, and of the texts that one task
+#: looks up in it.
+BLOCK_SHINGLES = 1 << 16
 #: SetSketch parameters: base, rate, and the largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65534
 _rng = np.random.Generator(np.random.PCG64(4))
@@ -101,7 +102,7 @@ def _set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, regs): set size, 128-bit name of the set, packed registers."""
+    """(doc_id, text_hash, n_shingles, k1, k2, regs): set size, 128-bit name of the set, packed registers."""
 
     def run(batches):
         for b in batches:
@@ -111,11 +112,12 @@ def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
                 rows.append((len(s), *_set_key(s), registers(s).tobytes() if len(s) else None))
             size, k1, k2, regs = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(regs, pa.binary())],
-                ["doc_id", "n_shingles", "k1", "k2", "regs"],
+                [b.column("doc_id").cast(pa.int64()), b.column("text_hash"), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(regs, pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "k1", "k2", "regs"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, regs binary")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, regs binary")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -192,21 +194,23 @@ def _fine_links(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataF
     label; the buckets that hold several labels).
 
     Texts that share a finer band with texts of another label look for links in blocks. A block
-    holds the texts whose largest bucket is the same, so a family of near copies or of texts
-    around one passage is met as a whole; large buckets make several blocks. A block is held as
-    an inverted index of at most about a million shingles, a text is looked up in it, and only links leave a task: no
-    pairs are listed.
+    holds texts whose largest bucket is the same, so a family of near copies or of texts
+    around one passage is met as a whole; a large family makes several blocks, and the texts that look for links in it
+    take several turns at each. A task holds a block as an inverted index of about BLOCK_SHINGLES shingles and looks up texts of
+    about as many, however large the family is; only links leave it: no pairs are listed.
     """
     percent = round(100 * threshold)
     sizes = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     largest = labelled.join(sizes, "bucket").groupBy("rep", "k1", "label").agg(F.max(F.struct("n", "bucket", "s")).alias("top"))
-    part = F.pmod(F.xxhash64("rep", "k1"), F.ceil(F.col("top.s") / BLOCK_SHINGLES).cast("long"))
-    texts = largest.select("rep", "k1", "label", F.xxhash64("top.bucket", part).alias("block"))
+    parts = F.ceil(F.col("top.s") / BLOCK_SHINGLES).cast("int")
+    texts = largest.select("rep", "k1", "label", F.col("top.bucket").alias("family"), parts.alias("parts"))
     texts = cut(texts.join(sets, ["rep", "k1"]), "texts")
 
+    own = ["rep", "k1", "label", "family", "parts"]
+
     def sketch(batches):
         for b in batches:
-            regs = [registers(np.frombuffer(x.as_buffer(), np.uint64), FINE) for x in b.column(4)]
+            regs = [registers(np.frombuffer(x.as_buffer(), np.uint64), FINE) for x in b.column(5)]
             keys = [np.frombuffer(r.tobytes(), f"S{2 * FINE_ROWS}") for r in regs]
             halves = [np.frombuffer(k.tobytes(), "<u8").reshape(-1, 2 * FINE_ROWS // 8) for k in keys]
             bands = np.arange(FINE_BANDS, dtype=np.uint64)
@@ -216,22 +220,27 @@ def _fine_links(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataF
                 for column in h.T:
                     x = mix64(x ^ column)
                 named.append(x.view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(named, pa.list_(pa.int64()))], ["rep", "k1", "label", "block", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(named, pa.list_(pa.int64()))], [*own, "bands"])
 
-    banded = texts.select("rep", "k1", "label", "block", "set").mapInArrow(sketch, "rep long, k1 long, label long, block long, bands array<long>")
-    bands = cut(banded.select("rep", "k1", "label", "block", F.explode("bands").alias("band")), "fine")
+    banded = texts.select(*own, "set").mapInArrow(sketch, "rep long, k1 long, label long, family long, parts int, bands array<long>")
+    bands = cut(banded.select(*own, F.explode("bands").alias("band")), "fine")
     sizes = bands.groupBy("band", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     mixed = bands.join(main.select("band", F.col("top.label").alias("main")), "band")
-    # the bands of a text mostly lead to the same few blocks
-    there = mixed.groupBy("band").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    # the bands of a text mostly lead to the same few families
+    there = mixed.groupBy("band").agg(F.array_sort(F.collect_set(F.struct("family", "parts"))).alias("families"))
     asked = mixed.where("label <> main").select("band", "rep", "k1", "label").join(there, "band")
-    asked = asked.select("rep", "k1", "label", "blocks").distinct().withColumn("block", F.explode("blocks"))
-    asked = asked.select("rep", "k1", "label", "block").distinct().join(sets, ["rep", "k1"])
-    columns = ["block", "rep", "label", "set"]
-    blocks = asked.select("block").distinct()
-    held = texts.join(blocks, "block", "left_semi").select(F.lit(0).alias("kind"), *columns)
-    dealt = held.union(asked.select(F.lit(1).alias("kind"), *columns)).repartition("block").sortWithinPartitions("block", "kind")
+    asked = asked.select("rep", "k1", "label", "families").distinct().select("rep", "k1", "label", F.explode("families").alias("f"))
+    asked = cut(asked.select("rep", "k1", "label", "f.family", "f.parts").distinct().join(sets, ["rep", "k1"]), "asked")
+    turns = F.ceil(F.sum(F.length("set")) / (8 * BLOCK_SHINGLES)).cast("int")
+    turns = small_side(cut(asked.groupBy("family").agg(turns.alias("turns")), "turns"))
+    dealt_by = lambda n, salt: F.pmod(F.xxhash64("rep", "k1", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = texts.join(turns, "family").withColumn("part", dealt_by("parts", 0)).withColumn("turn", each("turns"))
+    asks = asked.join(turns, "family").withColumn("turn", dealt_by("turns", 1)).withColumn("part", each("parts"))
+    columns = [F.xxhash64("family", "part", "turn").alias("block"), "rep", "label", "set"]
+    dealt = held.select(F.lit(0).alias("kind"), *columns).union(asks.select(F.lit(1).alias("kind"), *columns))
+    dealt = dealt.repartition("block").sortWithinPartitions("block", "kind")
 
     def look_up(batches):
         block, index = None, None
@@ -247,6 +256,8 @@ def _fine_links(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataF
                     labels.append(label)
                     found.append(mine)
                     continue
+                if index is None and not found:
+                    continue
                 if index is None:
                     size = np.array([len(x) for x in found])
                     owner = np.repeat(np.arange(len(found)), size)
@@ -270,7 +281,8 @@ def _fine_links(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataF
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, n: int = 5) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, more columns ignored): doc_id, n_shingles,
-    component_id (smallest doc_id reachable over links of at least ``threshold``) and kept.
+    component_id (smallest doc_id reachable over links of at least ``threshold``), kept, and
+    text_hash (xxhash64 of the text, which tells rows that repeat a doc_id apart).
 
     Null or empty texts and texts without words have an empty set: n_shingles 0, linked with
     nothing, kept. Rows without a doc_id can't be named: component_id null, kept, linked with
@@ -321,8 +333,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, n: int = 5) -> Dat
     named_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("component_id")
     )
-    result = made.select("doc_id", "n_shingles", "k1", "k2").join(named_class, ["k1", "k2"], "left")
+    result = made.select("doc_id", "text_hash", "n_shingles", "k1", "k2").join(named_class, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash")

@@ -77,6 +77,52 @@ def test_minhash_against_all_pairs(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def exact_components(pairs):
+    """Components by an inverted index of all shingles: common shingles of every pair of texts counted in full."""
+    sets = {i: shingles(t) for i, t in pairs}
+    postings, parent = {}, {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i in sorted(sets):
+        common = Counter(j for x in sets[i] for j in postings.get(x, ()))
+        for j, both in common.items():
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+        for x in sets[i]:
+            postings.setdefault(x, []).append(i)
+    return {i: find(i) for i in sets}, {i: len(s) for i, s in sets.items()}
+
+
+def test_minhash_against_an_exact_join_of_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    components, sizes = exact_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    got = minhash.near_duplicates(docs).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {i: (components[i], sizes[i]) for i in components}
+
+
+@pytest.mark.parametrize("block", [1 << 16, 500])
+def test_minhash_of_a_large_family(spark, monkeypatch, block):
+    """One large family of near copies around the threshold, in one or many blocks and turns."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    rng = np.random.Generator(np.random.PCG64(11))
+    base = base_text(77, 70).split()
+    pairs = []
+    for i in range(120):
+        w = list(base)
+        for at in rng.choice(70, int(rng.integers(0, 4)), replace=False):
+            w[at] = f"x{i}y{at}"
+        pairs.append((i, " ".join(w)))
+    pairs += [(500 + i, base_text(600 + i, 30) + " " + " ".join(base[:40])) for i in range(60)] + [(900, base_text(12, 12_000))]
+    components, _ = exact_components(pairs)
+    got = minhash.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == components
+
+
 def test_minhash_families_at_the_threshold(spark):
     """Copies with edits whose similarities lie around 0.75, many of them linked only in chains."""
     rng = np.random.Generator(np.random.PCG64(7))
