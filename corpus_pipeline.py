@@ -24,14 +24,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates. Of rows that repeat a
-    doc_id, one of the smallest text is kept; rows without a doc_id all stay."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").select(*COLUMNS).join(kept, "doc_id", "left_semi")
-    unique = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    """The document with the smallest doc_id of each group of near duplicates. Of rows that repeat doc_id
+    and text one stays, the first by its other columns; rows without a doc_id all stay."""
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id", "text_hash").distinct()
+    own = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    named = own.where("doc_id is not null").join(kept, ["doc_id", "text_hash"], "left_semi")
+    unique = named.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     if not unique:
-        named = named.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return named.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+        named = named.groupBy("doc_id", "text_hash").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("r")).select("doc_id", "r.*")
+    return named.select(*COLUMNS).union(own.where("doc_id is null").select(*COLUMNS))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
