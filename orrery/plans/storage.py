@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,11 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a default only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT).rstrip("/")
+    """The folder of ``spark.checkpoint.dir``; a default only where that is unset and all of Spark is one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (path or LOCAL_DEFAULT).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
@@ -54,13 +58,15 @@ def drop_cut(*tables: DataFrame) -> None:
     if tables:
         tables[0].sparkSession._jvm.System.gc()
 
-#: Rows of an Arrow batch that carries texts: some MB, instead of the default's 10,000 rows.
-TEXT_ROWS = 1000
+
+#: Rows and bytes of an Arrow batch that carries texts or vectors, instead of the default's 10,000 rows of any size.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of a session that sends texts to Python workers; a lower setting of
-    the cluster stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= TEXT_ROWS:
-        spark.conf.set(key, TEXT_ROWS)
+    """Bound the Arrow batches of a session that sends texts to Python workers; lower settings of
+    the cluster stay. They hold for the session: plans read them when they run."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) * 1024 ** " kmgt".index(unit or " ") <= most:
+            spark.conf.set(key, most)
