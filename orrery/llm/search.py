@@ -10,8 +10,9 @@ bound of the inner product, <x, y> = (|x|^2 + |y|^2 - |x - y|^2) / 2. A block of
 after block of candidates; those whose bound stays below the k-th best score so far drop out level
 by level, and only survivors get exact scores.
 
-Queries are dealt into blocks of bounded size, and all candidates pass each query block in chunks,
-so a task holds one query block, one chunk and the k best of each query.
+Queries are dealt into blocks and candidates into ranges of bounded size, and each block meets each range in a group of
+its own, chunk by chunk: the number of groups grows with queries and candidates, and a task holds one query
+block, one chunk and the k best of each query. The best of all ranges are merged in a second step.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from orrery.plans.storage import cut, text_batches
 
 #: Queries of a block and candidates of a chunk, about.
 QUERY_BLOCK, CHUNK = 512, 2048
+#: Candidates of a range, about, and ranges at most: each gives k rows for each query to the merge.
+RANGE_ROWS, MAX_RANGES = 8192, 1024
 #: Segments of the resolutions, coarse to fine; resolutions finer than the vectors are left out.
 SEGMENTS = (1, 2, 4, 8, 16)
-#: Share of pairs that must drop out for a finer level to be worth its cost before exact scores.
-WORTH = 0.02
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -71,10 +75,7 @@ class Best:
         if np.isfinite(self.least).all():
             for a, b in zip(q.stats, c.stats, strict=True):
                 near = ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]) / 2 - a @ b.T
-                before = alive.sum()
                 alive &= half - near >= floor
-                if alive.sum() > (1 - WORTH) * before:
-                    continue
                 if not alive.any():
                     return 0
         rows, columns = np.nonzero(alive)
@@ -99,12 +100,12 @@ class Best:
         n = [len(s) for s in self.score]
         return pa.RecordBatch.from_arrays(
             [
+                pa.array(np.repeat(self.q.rows, n)),
                 pa.array(np.repeat(self.q.ids, n)),
-                pa.array(np.concatenate([np.arange(1, m + 1) for m in n] or [[]]).astype(np.int32)),
                 pa.array(np.concatenate(self.ids or [np.empty(0)]).astype(np.int64)),
                 pa.array(np.concatenate(self.score or [np.empty(0)]).astype(np.int64)),
             ],
-            ["query_id", "rank", "vec_id", "score"],
+            ["row", "query_id", "vec_id", "score"],
         )
 
 
@@ -128,48 +129,45 @@ def _vectors(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 20, exclude_self: bool = True) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """Each query's k candidates of the highest integer inner product: query_id, rank (from 1),
     vec_id, score. ``vectors``: (vec_id, v) with whole components below 2**20 in size.
 
-    Ties go to the smaller vec_id. A query's own row is no candidate of it; rows that repeat its
-    id and vector beside it are left out as well, for nothing tells them apart. Shorter vectors
+    Ties go to the smaller vec_id. Only a query's own row is no candidate of it: rows that repeat its
+    id or vector are. Repeated query rows each get their rows. Shorter vectors
     count as if filled with zeros. Fewer than k candidates give fewer rows, an empty table none.
     """
-    spark = vectors.sparkSession
-    n_queries = vectors.where(is_query).count()
-    shape = vectors.agg(F.max(F.size("v")).alias("width"), F.count("*").alias("n")).first()
-    schema = "query_id long, rank int, vec_id long, score long"
-    if not n_queries or not shape.width:
-        if not n_queries:
-            return spark.createDataFrame([], schema)
-    width, n = max(shape.width or 1, 1), shape.n
-    blocks = -(-n_queries // QUERY_BLOCK)
-    chunks = -(-n // CHUNK)
-    row = F.xxhash64("vec_id", "v").alias("row")
-    queries = vectors.where(is_query).select("vec_id", row, "v").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks)))
-    packed = [F.collect_list(F.struct("vec_id", "row", "v")).alias("items")]
-    queries = queries.groupBy("block").agg(*packed).select("block", F.lit(-1).cast("long").alias("chunk"), "items")
-    candidates = vectors.select("vec_id", row, "v").withColumn("chunk", F.pmod(F.xxhash64(F.lit(2), "row"), F.lit(chunks)))
-    candidates = candidates.groupBy("chunk").agg(*packed)
-    candidates = candidates.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "chunk", "items")
-    tasks = min(blocks, 4096)
-    dealt = queries.union(candidates).repartition(tasks, "block").sortWithinPartitions("block", "chunk")
+    text_batches(vectors.sparkSession)
+    # written with its row numbers, which would otherwise differ from one use to the next
+    table = cut(vectors.select("vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("row")), "vectors")
+    shape = table.agg(F.max(F.size("v")).alias("width"), F.count("*").alias("n"), F.count_if("asks").alias("asks")).first()
+    width, blocks = max(shape.width or 1, 1), max(1, -(-shape.asks // QUERY_BLOCK))
+    ranges = min(max(1, -(-shape.n // RANGE_ROWS)), MAX_RANGES)
+    chunks = max(1, -(-shape.n // (ranges * CHUNK)))
+    number = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "row"), F.lit(n).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    packed = F.collect_list(F.struct("vec_id", "row", "v")).alias("items")
+    queries = table.where("asks").groupBy(number(1, blocks).alias("block")).agg(packed).select("block", every(ranges).alias("range"), F.lit(-1).cast("long").alias("chunk"), "items")
+    candidates = table.groupBy(number(2, ranges).alias("range"), number(3, chunks).alias("chunk")).agg(packed)
+    candidates = candidates.select(every(blocks).alias("block"), "range", "chunk", "items")
+    tasks = min(blocks * ranges, 65_536)
+    dealt = queries.union(candidates).repartition(tasks, "block", "range").sortWithinPartitions("block", "range", "chunk")
 
     def run(batches):
         best, at = None, None
         for b in batches:
-            for block, chunk, items in zip(*(b.column(i) for i in range(3)), strict=True):
+            for block, part, chunk, items in zip(*(b.column(i) for i in range(4)), strict=True):
                 v = items.values
                 made = Block(v.field(0).to_numpy(), v.field(1).to_numpy(), _vectors(v.field(2), width))
                 if chunk.as_py() < 0:
                     if best is not None:
                         yield best.rows()
-                    best, at = Best(made, k), block.as_py()
-                elif best is not None and at == block.as_py():
+                    best, at = Best(made, k), (block.as_py(), part.as_py())
+                elif best is not None and at == (block.as_py(), part.as_py()):
                     best.offer(made)
         if best is not None:
             yield best.rows()
 
-    found = dealt.mapInArrow(run, schema)
-    return found
+    found = dealt.mapInArrow(run, "row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -237,6 +237,23 @@ def test_search_against_brute_force(spark):
     assert search.top_k(v.where("vec_id < 3"), F.col("vec_id") == 0, 7).count() == 2
 
 
+@pytest.mark.parametrize("ranges, block, chunk", [(8192, 512, 2048), (40, 3, 10)])
+def test_search_with_repeated_rows_and_ties(spark, monkeypatch, ranges, block, chunk):
+    monkeypatch.setattr(search, "RANGE_ROWS", ranges)
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    monkeypatch.setattr(search, "CHUNK", chunk)
+    rng = np.random.Generator(np.random.PCG64(13))
+    data = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [3.0, 3.0]), (1, [1.0, 1.0])] + [(int(i), [float(v) for v in rng.integers(-2, 3, 2)]) for i in rng.integers(0, 90, 200)]
+    table = spark.createDataFrame([(*d, "x", 1) for d in data], "vec_id long, embedding array<double>, row string, rank int")
+    got = Counter(tuple(r) for r in search.top_k(search.quantized(table, scale=1.0), F.col("vec_id") % 20 == 0, 20).collect())
+    want = Counter()
+    for i, (q, x) in enumerate(data):
+        if q % 20 == 0:
+            best = sorted((-int(x[0] * y[0] + x[1] * y[1]), c) for j, (c, y) in enumerate(data) if j != i)[:20]
+            want.update((q, k + 1, c, -s) for k, (s, c) in enumerate(best))
+    assert got == want
+
+
 def test_search_bounds_hold():
     rng = np.random.Generator(np.random.PCG64(12))
     a, b = rng.normal(size=(20, 16)), rng.normal(size=(30, 16))
