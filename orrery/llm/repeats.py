@@ -48,8 +48,8 @@ FLUSH = 200_000
 _LAST = 2**63 - 1
 #: Repeated anchor names that go to the tasks as a sorted array (32 MB); more are joined.
 FILTER_NAMES = 4_000_000
-#: Windows of one anchor name that are ranked in one task (some 50 MB); names with more are ranked by Spark.
-MAX_WINDOWS = 500_000
+#: Windows of one anchor name that are ranked in one task (some 10 MB); names with more are ranked by Spark.
+MAX_WINDOWS = 1 << 16
 
 
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
