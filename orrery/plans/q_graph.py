@@ -52,17 +52,7 @@ def _(t, spark):
     return G.page_rank(_edges(t), rounds=5).select("node", F.round("rank", 5).alias("rank"))
 
 
-@query("closeness_bfs", f"""WITH {_BOTH}, s AS (SELECT node AS source, node FROM (SELECT DISTINCT src AS node FROM b) WHERE node % 100 = 0), h1 AS (SELECT DISTINCT source, dst AS node FROM s JOIN b ON s.node = b.src WHERE dst <> source),
-  h2 AS (SELECT DISTINCT source, dst AS node FROM h1 JOIN b ON h1.node = b.src), h3 AS (SELECT DISTINCT source, dst AS node FROM h2 JOIN b ON h2.node = b.src),
-  a AS (SELECT source, node, 1 AS d FROM h1 UNION ALL SELECT source, node, 2 FROM h2 UNION ALL SELECT source, node, 3 FROM h3), m AS (SELECT source, node, min(d) AS d FROM a WHERE node <> source GROUP BY ALL)
-  SELECT source AS node, count(*) AS reached, CAST(sum(d) AS BIGINT) AS total FROM m GROUP BY source""")
-def _(t, spark):
-    e = _edges(t)
-    nodes = G.undirected(e).select(F.col("src").alias("node")).distinct().where("node % 100 = 0")
-    return G.closeness(e, nodes, 3)
-
-
-@query("closeness_bfs_all")
+@query("closeness_bfs")
 def _(t, spark):
     return G.closeness_all(_edges(t))
 
@@ -72,63 +62,36 @@ def _(t, spark):
     return G.hyper_anf(_edges(t), 4)
 
 
-@query("common_neighbours", f"""WITH e AS ({_EDGES}), p AS (SELECT DISTINCT l_suppkey + 1000000 AS a, (l_suppkey + 1) % 50 + 1000001 AS b FROM lineitem WHERE l_suppkey <= 40)
-  SELECT a, b, count(y.src) AS n FROM p LEFT JOIN e x ON x.dst = a LEFT JOIN e y ON y.dst = b AND y.src = x.src GROUP BY a, b""")
-def _(t, spark):
-    pairs = t("lineitem").where("l_suppkey <= 40").select((F.col("l_suppkey") + 1000000).alias("a"), ((F.col("l_suppkey") + 1) % 50 + 1000001).alias("b")).distinct()
-    return G.common_neighbours(_edges(t), pairs).select("a", "b", "n")
-
-
-@query("common_neighbours_all", f"""WITH e AS ({_EDGES}), p AS (SELECT DISTINCT l_suppkey + 1000000 AS a, l_suppkey + 1000001 AS b FROM lineitem)
+@query("common_neighbours", f"""WITH e AS ({_EDGES}), p AS (SELECT DISTINCT l_suppkey + 1000000 AS a, l_suppkey + 1000001 AS b FROM lineitem)
   SELECT a, b, count(y.src) AS n FROM p LEFT JOIN e x ON x.dst = a LEFT JOIN e y ON y.dst = b AND y.src = x.src GROUP BY a, b""")
 def _(t, spark):
     pairs = t("lineitem").select((F.col("l_suppkey") + 1000000).alias("a"), (F.col("l_suppkey") + 1000001).alias("b")).distinct()
     return G.common_neighbours(_edges(t), pairs).select("a", "b", "n")
 
 
-@query("node_labels", "SELECT c_custkey AS node, c_mktsegment AS label FROM customer WHERE c_custkey % 3 = 0")
-def _(t, spark):
-    labels = t("customer").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("label"))
-    return G.node_labels(t("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("node")), labels)
-
-
-@query("node_labels_all", "SELECT c_custkey AS node, c_mktsegment AS label FROM customer")
+@query("node_labels", "SELECT c_custkey AS node, c_mktsegment AS label FROM customer")
 def _(t, spark):
     labels = t("customer").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("label"))
     return G.node_labels(t("customer").select(F.col("c_custkey").alias("node")), labels)
 
 
-@query("modularity", """WITH e AS (SELECT l_partkey % 40 AS src, 1000 + l_suppkey % 30 AS dst, count(*)::DOUBLE AS w FROM lineitem WHERE (l_partkey + l_suppkey) % 7 < 2 GROUP BY ALL),
-  c AS (SELECT src % 3 AS a, dst % 3 AS b, w FROM e), d AS (SELECT c, sum(w) AS w FROM (SELECT a AS c, w FROM c UNION ALL SELECT b, w FROM c) GROUP BY c)
-  SELECT round((SELECT sum(CASE WHEN a = b THEN w ELSE 0 END) / sum(w) FROM c) - (SELECT sum(w * w) FROM d) / (4 * (SELECT sum(w) * sum(w) FROM c)), 6) AS q""")
-def _(t, spark):
-    e = _weighted(t)
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    return G.modularity(e, nodes.withColumn("community", F.col("node") % 3)).select(F.round("q", 6).alias("q"))
-
-
 def _weighted(t) -> DataFrame:
-    rows = t("lineitem").where("(l_partkey + l_suppkey) % 7 < 2")
-    return rows.groupBy((F.col("l_partkey") % 40).alias("src"), (F.col("l_suppkey") % 30 + 1000).alias("dst")).agg(F.count("*").cast("double").alias("weight"))
-
-
-def _weighted_all(t) -> DataFrame:
     """All part-supplier edges, weighted by the lines that name both."""
     return t("lineitem").groupBy(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).agg(F.count("*").cast("double").alias("weight"))
 
 
-@query("modularity_all", """WITH e AS (SELECT l_partkey AS src, 1000000 + l_suppkey AS dst, count(*)::DOUBLE AS w FROM lineitem GROUP BY ALL),
+@query("modularity", """WITH e AS (SELECT l_partkey AS src, 1000000 + l_suppkey AS dst, count(*)::DOUBLE AS w FROM lineitem GROUP BY ALL),
   c AS (SELECT src % 3 AS a, dst % 3 AS b, w FROM e), d AS (SELECT c, sum(w) AS w FROM (SELECT a AS c, w FROM c UNION ALL SELECT b, w FROM c) GROUP BY c)
   SELECT round((SELECT sum(CASE WHEN a = b THEN w ELSE 0 END) / sum(w) FROM c) - (SELECT sum(w * w) FROM d) / (4 * (SELECT sum(w) * sum(w) FROM c)), 6) AS q""")
 def _(t, spark):
-    e = _weighted_all(t)
+    e = _weighted(t)
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     return G.modularity(e, nodes.withColumn("community", F.col("node") % 3)).select(F.round("q", 6).alias("q"))
 
 
 @query("louvain")
 def _(t, spark):
-    return G.louvain(_weighted_all(t), rounds=3, folds=2)
+    return G.louvain(_weighted(t), rounds=3, folds=2)
 
 
 def _vectors(t) -> DataFrame:
@@ -140,16 +103,8 @@ def _all(t) -> DataFrame:
     return _vectors(t).drop("l_orderkey")
 
 
-def _sample(t) -> DataFrame:
-    """The rows that the SQL of the round trips without ``_all`` selects."""
-    return _vectors(t).where("l_orderkey % 10 = 0").drop("l_orderkey")
-
-
 _ROUND = """SELECT CAST(l_linenumber AS DOUBLE) AS label, CAST((l_quantity <> 0)::INT + (l_extendedprice <> 0)::INT + (l_discount <> 0)::INT + (l_tax <> 0)::INT AS INTEGER) AS nnz,
-  round(l_quantity + l_extendedprice + l_discount + l_tax, 4) AS total FROM lineitem WHERE l_orderkey % 10 = 0"""
-
-
-_ROUND_ALL = _ROUND.removesuffix(" WHERE l_orderkey % 10 = 0")
+  round(l_quantity + l_extendedprice + l_discount + l_tax, 4) AS total FROM lineitem"""
 
 
 def _profile(df: DataFrame) -> DataFrame:
@@ -157,13 +112,6 @@ def _profile(df: DataFrame) -> DataFrame:
 
 
 @query("libsvm_roundtrip", _ROUND)
-def _(t, spark):
-    path = fresh_path(spark, "libsvm")
-    vectors.write_libsvm(_sample(t), path)
-    return _profile(vectors.read_libsvm(spark, path))
-
-
-@query("libsvm_roundtrip_all", _ROUND_ALL)
 def _(t, spark):
     path = fresh_path(spark, "libsvm")
     vectors.write_libsvm(_all(t), path)
@@ -182,13 +130,6 @@ def _fields(rows: DataFrame) -> DataFrame:
 
 
 @query("ffm_roundtrip", _ROUND)
-def _(t, spark):
-    path = fresh_path(spark, "ffm")
-    vectors.write_ffm(_fields(_sample(t)), path)
-    return _profile(vectors.read_ffm(spark, path))
-
-
-@query("ffm_roundtrip_all", _ROUND_ALL)
 def _(t, spark):
     path = fresh_path(spark, "ffm")
     vectors.write_ffm(_fields(_all(t)), path)

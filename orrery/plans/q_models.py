@@ -177,19 +177,6 @@ def _features(t) -> DataFrame:
     return t("orders").select(F.expr(_ROW).alias("row_id"), F.posexplode(v).alias("fid", "value"))
 
 
-_BINS = "f AS (" + " UNION ALL ".join(f"SELECT {_ROW} AS r, {i} AS fid, ({c})::DOUBLE AS x FROM orders" for i, c in _FIDS.items() if i) + "), b AS (SELECT r, fid, dense_rank() OVER (PARTITION BY fid ORDER BY x) - 1 AS bin FROM f), y AS (SELECT " + _ROW + " AS r, 0.5 - (o_orderstatus = 'F')::INT AS g, 0.25 AS h FROM orders)"
-
-
-def _few(t) -> DataFrame:
-    return _features(t).where("fid > 0")
-
-
-@query("gbdt_bins", f"WITH {_BINS} SELECT CAST(fid AS INTEGER) AS fid, CAST(bin AS INTEGER) AS bin, count(*) AS n FROM b GROUP BY ALL")
-def _(t, spark):
-    bins = B.binned(_few(t), B.candidate_splits(_few(t)))
-    return bins.groupBy("fid", "bin").agg(F.count("*").alias("n"))
-
-
 def _rows(t) -> DataFrame:
     return t("orders").select(F.expr(_ROW).alias("row_id"), F.lit(0).alias("node"), (0.5 - (F.col("o_orderstatus") == "F").cast("int")).alias("g"), F.lit(0.25).alias("h"))
 
@@ -199,37 +186,21 @@ def _(t, spark):
     return B.candidate_splits(_features(t)).select("fid", "categorical", F.size("splits").alias("n"))
 
 
-@query("gbdt_histogram", f"WITH {_BINS} SELECT CAST(0 AS INTEGER) AS node, CAST(fid AS INTEGER) AS fid, CAST(bin AS INTEGER) AS bin, CAST(sum(g) AS DOUBLE) AS g, CAST(sum(h) AS DOUBLE) AS h FROM b JOIN y USING (r) GROUP BY fid, bin")
-def _(t, spark):
-    return B.histogram(B.binned(_few(t), B.candidate_splits(_few(t))), _rows(t))
-
-
-@query("gbdt_root_split", f"""WITH {_BINS}, t AS (SELECT sum(g)::DOUBLE AS tg, sum(h)::DOUBLE AS th FROM y), c AS (SELECT fid, bin, sum(g)::DOUBLE AS g, sum(h)::DOUBLE AS h FROM b JOIN y USING (r) GROUP BY fid, bin),
-  p AS (SELECT fid, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl FROM c WINDOW w AS (PARTITION BY fid ORDER BY bin)),
-  s AS (SELECT fid, bin, gl, hl, gl * gl / (hl + 1) + (tg - gl) * (tg - gl) / (th - hl + 1) - tg * tg / (th + 1) - 1 AS gain FROM p, t WHERE th - hl > 1e-12)
-  SELECT CAST(fid AS INTEGER) AS fid, CAST(bin AS INTEGER) AS bin, round(gain, 4) AS gain FROM s ORDER BY gain DESC, fid, bin LIMIT 1""")
-def _(t, spark):
-    rows = _rows(t)
-    totals = rows.groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    best = B.best_splits(B.histogram(B.binned(_few(t), B.candidate_splits(_few(t))), rows), totals, min_gain=-math.inf)
-    return best.select("fid", "bin", F.round("gain", 4).alias("gain"))
-
-
 def _bins(t) -> DataFrame:
     return B.binned(_features(t), B.candidate_splits(_features(t)))
 
 
-@query("gbdt_bins_all")
+@query("gbdt_bins")
 def _(t, spark):
     return _bins(t).groupBy("fid", "bin").agg(F.count("*").alias("n"))
 
 
-@query("gbdt_histogram_all")
+@query("gbdt_histogram")
 def _(t, spark):
     return B.histogram(_bins(t), _rows(t))
 
 
-@query("gbdt_root_split_all")
+@query("gbdt_root_split")
 def _(t, spark):
     rows = _rows(t)
     totals = rows.groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
@@ -314,19 +285,7 @@ def _(t, spark):
     return s.select("l_orderkey", *[F.get("h", k).alias(f"h{k}") for k in range(3)])
 
 
-_SETS = "s AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_partkey % 12))) AS p FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1)"
-
-
-@query("minhash_join", f"""WITH {_SETS}, h AS (SELECT k, p, unnest([{", ".join(f"'{i}:' || list_min(list_transform(p, lambda i: ((i + 1) * {a} + {b}) % 2038074743))" for i, (a, b) in enumerate(_COEF))}]) AS h FROM s)
-  SELECT DISTINCT a.k AS ia, b.k AS ib, round(1 - len(list_intersect(a.p, b.p)) / (len(a.p) + len(b.p) - len(list_intersect(a.p, b.p))), 6) AS distance FROM h a JOIN h b USING (h)
-  WHERE a.k < b.k AND 1 - len(list_intersect(a.p, b.p)) / (len(a.p) + len(b.p) - len(list_intersect(a.p, b.p))) < 0.5""")
-def _(t, spark):
-    s = t("lineitem").where("l_orderkey % 40 = 0").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set(F.col("l_partkey") % 12).alias("p")).withColumn("h", lsh.minhash(F.col("p"), _COEF))
-    out = lsh.similarity_join(s, s, "k", "k", "h", "p", lsh.jaccard_distance, 0.5)
-    return out.where("ia < ib").select("ia", "ib", F.round("distance", 6).alias("distance"))
-
-
-@query("minhash_join_all")
+@query("minhash_join")
 def _(t, spark):
     """Every order with its own part keys."""
     s = t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_partkey").alias("p")).withColumn("h", lsh.minhash(F.col("p"), _COEF))

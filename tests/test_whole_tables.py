@@ -29,7 +29,7 @@ def distances(near, source):
 
 def test_closeness_of_every_node(spark, sf):
     pairs = [tuple(r) for r in q_graph._edges(table(spark, sf)).collect()]
-    got = {r.node: (r.reached, r.total) for r in catalog.queries()["closeness_bfs_all"](spark, sf).collect()}
+    got = {r.node: (r.reached, r.total) for r in catalog.queries()["closeness_bfs"](spark, sf).collect()}
     near = neighbours(pairs)
     want = {n: distances(near, n) for n in near}
     assert got == {n: (len(d) - 1, sum(d.values())) for n, d in want.items()}
@@ -54,7 +54,7 @@ def test_formats_read_back_every_line(spark, sf, monkeypatch):
     for name in ("libsvm_width", "ffm_meta"):
         assert catalog.queries()[name](spark, sf).count() > 0
     assert written == [lines, lines]
-    for name in ("libsvm_roundtrip_all", "ffm_roundtrip_all"):
+    for name in ("libsvm_roundtrip", "ffm_roundtrip"):
         assert catalog.queries()[name](spark, sf).count() == lines
 
 
@@ -78,7 +78,7 @@ def test_minhash_join_against_all_pairs(spark, sf):
             by.setdefault(x, []).append(k)
     pairs = {(a, b) for ks in by.values() for a in ks for b in ks if a < b}
     far = {(a, b): 1 - len(orders[a] & orders[b]) / len(orders[a] | orders[b]) for a, b in pairs}
-    got = {(r.ia, r.ib): r.distance for r in catalog.queries()["minhash_join_all"](spark, sf).collect()}
+    got = {(r.ia, r.ib): r.distance for r in catalog.queries()["minhash_join"](spark, sf).collect()}
     assert got == {k: round(d, 6) for k, d in far.items() if d < 0.5} and got
 
 
@@ -92,8 +92,8 @@ def test_bins_and_root_split_of_all_features(spark, sf):
         n, g = hist.get((r.fid, b), (0, 0.0))
         hist[r.fid, b] = (n + 1, g + y[r.row_id])
     q = catalog.queries()
-    assert {(r.fid, r.bin): r.n for r in q["gbdt_bins_all"](spark, sf).collect()} == {k: n for k, (n, _) in hist.items()}
-    got = {(r.fid, r.bin): r.g for r in q["gbdt_histogram_all"](spark, sf).collect()}
+    assert {(r.fid, r.bin): r.n for r in q["gbdt_bins"](spark, sf).collect()} == {k: n for k, (n, _) in hist.items()}
+    got = {(r.fid, r.bin): r.g for r in q["gbdt_histogram"](spark, sf).collect()}
     assert got.keys() == hist.keys() and all(abs(got[k] - hist[k][1]) < 1e-9 for k in hist)
     g, h = sum(y.values()), 0.25 * len(y)
     gains = {}
@@ -102,5 +102,5 @@ def test_bins_and_root_split_of_all_features(spark, sf):
         gl, hl = sum(v[1] for v in left), 0.25 * sum(v[0] for v in left)
         if h - hl > 1e-12:
             gains[f, b] = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1) - 1
-    best = q["gbdt_root_split_all"](spark, sf).first()
+    best = q["gbdt_root_split"](spark, sf).first()
     assert abs(best.gain - max(gains.values())) < 1e-3 and abs(gains[best.fid, best.bin] - best.gain) < 1e-3
