@@ -191,11 +191,12 @@ def linear_data(spark: SparkSession, n: int, weights: list[float], intercept: fl
     return e.withColumn("features", x).select("id", "features", (dot + F.col("e")).alias("label"))
 
 
-def kmeans(df: DataFrame, features: str, k: int, rounds: int = 10, seed: int = 1) -> tuple[list[list[float]], list[float]]:
+def kmeans(df: DataFrame, features: str, k: int, rounds: int = 10, seed: int = 1, start: list[list[float]] | None = None) -> tuple[list[list[float]], list[float]]:
     """(centres, cost of each round): assignment is an expression over the centres as a literal,
-    update one grouped sum."""
-    start = df.orderBy(F.xxhash64(F.lit(seed), features)).limit(k).select(features).collect()
-    centres = [[float(x) for x in r[0]] for r in start]
+    update one grouped sum. Without ``start``, the centres begin at k rows drawn by a seeded hash."""
+    if start is None:
+        start = [r[0] for r in df.orderBy(F.xxhash64(F.lit(seed), features)).limit(k).select(features).collect()]
+    centres = [[float(x) for x in c] for c in start]
     history = []
     for _ in range(rounds):
         a = assigned(df, features, centres)

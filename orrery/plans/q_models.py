@@ -63,12 +63,28 @@ for _name, _loss, _rate in (("logreg_step", "logloss", 0.5), ("svm_step", "hinge
         return table.select("idx", (F.round("value", 6) + 0.0).alias("value"))
 
 
+_RULES = {
+    "momentum": ("velocity", "0.9 * velocity + grad AS velocity", "velocity"),
+    "adagrad": ("square", "square + grad * grad AS square", "grad / (sqrt(square) + 1e-8)"),
+    "adam": ("first, second", "0.9 * first + (1 - 0.9) * grad AS first, 0.999 * second + (1 - 0.999) * grad * grad AS second", "first / (1 - pow(0.9, {k})) / (sqrt(second / (1 - pow(0.999, {k}))) + 1e-8)"),
+}
+
+
+def _optimizer_sql(rule: str, steps: int, rate: float) -> str:
+    slots, update, step = _RULES[rule]
+    out = f"WITH {_DATA}, w0 AS (SELECT DISTINCT idx, 0.0::DOUBLE AS value, {', '.join(f'0.0::DOUBLE AS {c}' for c in slots.split(', '))} FROM e)"
+    for k in range(1, steps + 1):
+        out += f""", s{k} AS (SELECT r, sum(value * x) AS s FROM e JOIN w{k - 1} USING (idx) GROUP BY r), d{k} AS (SELECT idx, sum(x * ({_SLOPES["logloss"]})) / (SELECT count(*) FROM y) AS grad FROM e JOIN s{k} USING (r) JOIN y USING (r) GROUP BY idx),
+          u{k} AS (SELECT idx, value, grad, {update} FROM w{k - 1} JOIN d{k} USING (idx)), w{k} AS (SELECT idx, value - {rate} * {step.format(k=k)} AS value, {slots} FROM u{k})"""
+    return out + f" SELECT CAST(idx AS INTEGER) AS idx, round(value, 6) + 0.0::DOUBLE AS value FROM w{steps}"
+
+
 for _name, _rule in (("momentum_steps", "momentum"), ("adagrad_steps", "adagrad"), ("adam_steps", "adam")):
 
-    @query(_name)
+    @query(_name, _optimizer_sql(_rule, 3, 0.1))
     def _(t, spark, rule=_rule):
         table, _history = L.fit_linear(_entries(t), _labels(t), "logloss", 0.1, 3, rule)
-        return table.select("idx", F.round("value", 6).alias("value"))
+        return table.select("idx", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("minibatch_logreg")
@@ -115,11 +131,15 @@ def _(t, spark):
     return L.ftrl_weights(state).select("idx", F.round("value", 6).alias("value"))
 
 
-@query("ftrl_fm")
+@query("ftrl_fm", f"""WITH {_DATA}, v AS (SELECT i AS idx, f, (i + 1) * 0.1::DOUBLE AS z, -((i + 1) * 0.1::DOUBLE) / (0.1 + 1 / 0.1) AS v FROM range(0, 4) AS a(i), range(0, 2) AS b(f)),
+  s AS (SELECT r, f, sum(v * x) AS s, sum(v * x * v * x) AS q FROM e JOIN v USING (idx) GROUP BY r, f), p AS (SELECT r, 1 / (1 + exp(-sum(s * s - q) / 2)) - max(y) AS err FROM s JOIN y USING (r) GROUP BY r),
+  g AS (SELECT idx, f, z, v, err * (x * s - v * x * x) AS g FROM e JOIN v USING (idx) JOIN s USING (r, f) JOIN p USING (r))
+  SELECT CAST(idx AS BIGINT) AS idx, CAST(f AS INTEGER) AS f, round(max(z) + sum(g - abs(g) / 0.1 * v), 3) + 0.0::DOUBLE AS z, round(sum(g * g), 4) + 0.0::DOUBLE AS n FROM g GROUP BY idx, f""")
 def _(t, spark):
     state = spark.range(4).select(F.col("id").alias("idx"), F.lit(0.0).alias("z"), F.lit(0.0).alias("n"))
     f = state.select("idx", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("f"), ((F.col("idx") + 1) * 0.1).alias("z"), "n")
-    return L.ftrl_fm_batch(state, f, _entries(t).withColumn("idx", F.col("idx").cast("long")), _labels(t))[1]
+    new = L.ftrl_fm_batch(state, f, _entries(t).withColumn("idx", F.col("idx").cast("long")), _labels(t))[1]
+    return new.select("idx", "f", (F.round("z", 3) + 0.0).alias("z"), (F.round("n", 4) + 0.0).alias("n"))
 
 
 @query("params_table", """SELECT round(sum(value), 2) AS total, round(max(value), 2) AS max, round(min(value), 2) AS min, count(*) FILTER (value <> 0) AS nnz, count(*) AS size, round(sqrt(sum(value * value)), 2) AS norm2
@@ -181,7 +201,7 @@ def _rows(t) -> DataFrame:
     return t("orders").select(F.expr(_ROW).alias("row_id"), F.lit(0).alias("node"), (0.5 - (F.col("o_orderstatus") == "F").cast("int")).alias("g"), F.lit(0.25).alias("h"))
 
 
-@query("gbdt_candidate_splits")
+@query("gbdt_candidate_splits", " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS fid, count(DISTINCT {c}) <= 16 AS categorical, CAST(CASE WHEN count(DISTINCT {c}) <= 16 THEN count(DISTINCT {c}) ELSE 20 END AS INTEGER) AS n FROM orders" for i, c in _FIDS.items()))
 def _(t, spark):
     return B.candidate_splits(_features(t)).select("fid", "categorical", F.size("splits").alias("n"))
 
@@ -258,10 +278,22 @@ def _(t, spark):
     return vectors.join(ids, "idx").select("node", F.size("vector").alias("dim"))
 
 
-@query("kmeans")
+def _kmeans_sql(rounds: int) -> str:
+    distance = "list_sum(list_transform(list_zip(e.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+    out = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), c0 AS (SELECT vec_id AS cluster, v FROM e WHERE vec_id < 4)"
+    for k in range(rounds):
+        out += f""", a{k} AS (SELECT vec_id, arg_min(c.cluster, {{'d': {distance}, 'c': c.cluster}}) AS cluster FROM e, c{k} c GROUP BY vec_id),
+          m{k} AS (SELECT cluster, i, avg(x) AS x FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{k} JOIN e USING (vec_id)) GROUP BY cluster, i),
+          c{k + 1} AS (SELECT cluster, list(x ORDER BY i) AS v FROM m{k} GROUP BY cluster)"""
+    return out + f", a{rounds} AS (SELECT vec_id, arg_min(c.cluster, {{'d': {distance}, 'c': c.cluster}}) AS cluster FROM e, c{rounds} c GROUP BY vec_id) SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS n FROM a{rounds} GROUP BY cluster"
+
+
+@query("kmeans", _kmeans_sql(3))
 def _(t, spark):
+    """Three rounds from the first four vectors."""
     df = t("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    centres, _history = M.kmeans(df, "v", 4, 3)
+    start = [list(r.v) for r in df.where("vec_id < 4").orderBy("vec_id").collect()]
+    centres, _history = M.kmeans(df, "v", 4, 3, start=start)
     return M.assigned(df, "v", centres).groupBy("cluster").agg(F.count("*").alias("n"))
 
 

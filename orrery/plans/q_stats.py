@@ -161,7 +161,9 @@ def _(t, spark):
     return _rounded(E.roc_points(_scored(t), "p", "y"), "bin")
 
 
-@query("area_under_pr")
+@query("area_under_pr", f"""WITH s AS ({_SCORED}), b AS (SELECT least(floor(p * 1000), 999)::BIGINT AS bin, sum(y) AS pos, count(*) AS n FROM s GROUP BY 1),
+  c AS (SELECT bin, sum(pos) OVER w AS tp, sum(n) OVER w AS a, sum(pos) OVER () AS p FROM b WINDOW w AS (ORDER BY bin DESC)), q AS (SELECT bin, tp / p AS r, tp / a AS pr FROM c)
+  SELECT round(sum(a), 6) AS area FROM (SELECT (r - coalesce(lag(r) OVER w, 0)) * (pr + coalesce(lag(pr) OVER w, pr)) / 2 AS a FROM q WINDOW w AS (ORDER BY bin DESC))""")
 def _(t, spark):
     return _rounded(E.area_under_pr(_scored(t), "p", "y"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zipfile
+from pathlib import Path
+
+import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +53,17 @@ def _(t, spark):
     return _exploded(s.transform(_tokens(t)), "k")
 
 
-@query("stop_words_english")
+def _english_sql() -> str | None:
+    """The query's SQL with the list that Spark's own jar holds; None without that jar."""
+    jars = sorted((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
+    if not jars:
+        return None
+    words = zipfile.ZipFile(jars[0]).read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
+    listed = ", ".join("'" + w.lower().replace("'", "''") + "'" for w in words if w)
+    return f"SELECT doc_id, unnest(list_filter(w, lambda x: lower(x) NOT IN ({listed}))) AS token FROM ({_PLAIN})"
+
+
+@query("stop_words_english", _english_sql())
 def _(t, spark):
     return _exploded(T.StopWordsRemover(input="w", output="k").transform(_tokens(t)), "k")
 
