@@ -199,3 +199,15 @@ def gaussian_log_pdf(x, mean, cov):
     kept = values > max(values.max(), 0) * len(values) * np.finfo(float).eps
     d = (np.asarray(x, float) - mean) @ axes[:, kept]
     return -0.5 * (np.log(2 * math.pi * values[kept]).sum() + (d * d / values[kept]).sum(-1))
+
+
+def active_features(df: DataFrame, features: str = "features") -> DataFrame:
+    """One row (active, rows): how many indexes of a sparse vector column occur, which is the size of a model
+    over it, and how many rows there are."""
+    active = df.select(F.explode(F.col(features)["indices"]).alias("i")).distinct().agg(F.count("*").alias("active"))
+    return active.crossJoin(F.broadcast(df.agg(F.count("*").alias("rows"))))  # one row beside one row
+
+
+def partition_rows(df: DataFrame) -> DataFrame:
+    """(partition, rows) of the partitions that have rows."""
+    return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("rows"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.plans import q_features, q_graph, q_models, q_stats, q_text  # noqa: F401  (they register their queries)
+from orrery.plans import q_features, q_graph, q_interop, q_models, q_stats, q_text  # noqa: F401  (they register their queries)
 from orrery.plans.registry import QUERIES, SQL
 
 
