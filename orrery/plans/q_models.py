@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -228,6 +229,36 @@ def _(t, spark):
     return best.select("fid", "bin", F.round("gain", 4).alias("gain"))
 
 
+_SETS = "f AS (" + " UNION ALL ".join(f"SELECT {_ROW} AS r, {i} AS fid, {c} AS bin FROM orders" for i, c in _FIDS.items() if i) + "), y AS (SELECT " + _ROW + " AS r, 0.5::DOUBLE - (o_orderstatus = 'F')::INT AS g, 0.25::DOUBLE AS h FROM orders)"
+
+
+@query("gbdt_categorical_split", f"""WITH {_SETS}, t AS (SELECT sum(g) AS tg, sum(h) AS th FROM y), c AS (SELECT fid, bin, sum(g) AS g, sum(h) AS h FROM f JOIN y USING (r) GROUP BY fid, bin),
+  l AS (SELECT fid, list_concat([{{'g': 0.0::DOUBLE, 'h': 0.0::DOUBLE, 'gl': coalesce(sum(g) FILTER (bin = 0), 0), 'hl': coalesce(sum(h) FILTER (bin = 0), 0), 'mask': 1::BIGINT}}],
+    list({{'g': g, 'h': h, 'gl': 0.0::DOUBLE, 'hl': 0.0::DOUBLE, 'mask': (1::BIGINT << bin::INT)::BIGINT}} ORDER BY bin) FILTER (bin > 0)) AS bins FROM c GROUP BY fid),
+  s AS (SELECT fid, tg, th, list_reduce(bins, lambda a, x: {{'g': x.g, 'h': x.h, 'gl': a.gl + CASE WHEN x.g * (2 * a.gl + x.g - tg) >= 0 THEN x.g ELSE 0 END,
+    'hl': a.hl + CASE WHEN x.g * (2 * a.gl + x.g - tg) >= 0 THEN x.h ELSE 0 END, 'mask': a.mask + CASE WHEN x.g * (2 * a.gl + x.g - tg) >= 0 THEN x.mask ELSE 0 END}}) AS s FROM l, t)
+  SELECT CAST(fid AS INTEGER) AS fid, CAST(s.mask AS BIGINT) AS mask, round(s.gl * s.gl / (s.hl + 1) + (tg - s.gl) * (tg - s.gl) / (th - s.hl + 1) - tg * tg / (th + 1) - 1, 4) AS gain FROM s WHERE th - s.hl > 1e-12""")
+def _(t, spark):
+    """The root's division of the categories of three features."""
+    rows, hist = _rows(t), B.histogram(_bins(t), _rows(t)).where("fid > 0")
+    total = rows.agg(F.sum("g").alias("g"), F.sum("h").alias("h")).first()
+    sums = {0: (np.array([total.g]), np.array([total.h]))}
+    found = B.scanned_splits(hist, ["g"], ["h"], sums, dict.fromkeys((1, 2, 3), 0), {}, B.Settings(min_gain=-math.inf))
+    mask = F.aggregate("left", F.lit(0).cast("long"), lambda a, b: a + F.pow(F.lit(2.0), b).cast("long"))
+    return found.select("fid", mask.alias("mask"), F.round("gain", 4).alias("gain"))
+
+
+@query("gbdt_multiclass")
+def _(t, spark):
+    """Trees for the three order states, with a full Hessian; how often each state is called."""
+    states = {"F": 0, "O": 1, "P": 2}
+    code = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in states.items() for x in kv]), F.col("o_orderstatus")), F.lit(2))
+    labels = t("orders").select(F.expr(_ROW).alias("row_id"), code.alias("label"))
+    m = B.boost(_features(t), labels, "multinomial", rounds=2, depth=3, classes=3, hessian="full")
+    called = t("orders").select(m.predict(lambda f: F.expr(_FIDS[f])).alias("state"))
+    return called.groupBy("state").agg(F.count("*").alias("n"))
+
+
 @query("gbdt_predict", """SELECT o_orderkey AS row_id, round(0.1 * (CASE WHEN o_totalprice < 150000 THEN CASE WHEN o_custkey % 7 < 3 THEN -0.5 ELSE 0.25 END ELSE 1.0 END) + 0.1 * (CASE WHEN o_orderkey % 5 < 2 THEN 0.75 ELSE -0.75 END), 6)::DOUBLE AS score FROM orders""")
 def _(t, spark):
     one = B.Tree({0: (0, 0, 150000.0, 1.0), 1: (1, 0, 3.0, 1.0)}, {3: -0.5, 4: 0.25, 2: 1.0})

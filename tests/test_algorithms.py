@@ -139,6 +139,101 @@ def test_absent_values_go_right_of_negative_thresholds(spark, row_share):
     assert m.history[0] < np.log(2)
 
 
+def _table_of(rng, n, classes=2):
+    """Entries and labels: fid 0 has 40 values, fid 1 six categories with 0 among them, absent for a tenth of the rows."""
+    x0, x1 = rng.integers(-20, 20, n).astype(float), rng.integers(0, 6, n).astype(float)
+    y = ((x1 % classes) + (x0 > 5) + (rng.random(n) < 0.1)).astype(int) % classes
+    absent = rng.random(n) < 0.1
+    entries = [(i, 0, float(x0[i])) for i in range(n)] + [(i, 1, float(x1[i])) for i in range(n) if not absent[i]]
+    return entries, y, x0, np.where(absent, np.nan, x1)
+
+
+@pytest.mark.parametrize("classes, hessian", [(0, "diagonal"), (3, "diagonal"), (3, "full")])
+def test_first_split_of_a_tree_against_all_divisions(spark, classes, hessian):
+    """The root's split against the rule worked out row by row, for one and for several classes."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    entries, y, x0, x1 = _table_of(rng, 400, max(classes, 2))
+    e = spark.createDataFrame(entries, "row_id long, fid int, value double")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "row_id long, label int")
+    m = boosting.boost(e, labels, "multinomial" if classes else "logistic", rounds=1, depth=1, rate=1.0, classes=classes, hessian=hessian)
+    k = classes or 1
+    p = 1 / max(classes, 2)
+    g = p - np.eye(classes)[y] if classes else (0.5 - y)[:, None]
+    if hessian == "full":
+        h = np.full((len(y), 6), 0.0) + np.where(np.arange(6)[None] * 0 + np.isin(np.arange(6), [0, 3, 5]), p * (1 - p), -p * p)
+        g = p - np.eye(classes)[y]
+    else:
+        h = np.full((len(y), k), p * (1 - p))
+
+    def gain(rows):
+        a, b = g[rows].sum(0), h[rows].sum(0)
+        if hessian == "full":
+            full = np.zeros((3, 3))
+            full[np.triu_indices(3)] = b
+            full = full + np.triu(full, 1).T + np.eye(3)
+            return a @ np.linalg.inv(full) @ a
+        return (a * a / (b + 1)).sum()
+
+    every = np.ones(len(y), bool)
+    points = sorted({r for r in boosting.candidate_splits(e).where("fid = 0").first().splits})
+    best = []
+    for t in points[1:]:
+        left = x0 < t
+        best.append((gain(left) + gain(~left) - gain(every) - 1, 0, left))
+    left = np.isnan(x1) | (x1 == 0)
+    for c in range(1, 6):
+        a = g[x1 == c].sum(0)
+        if a @ (2 * g[left].sum(0) + a - g.sum(0)) >= 0:
+            left = left | (x1 == c)
+    best.append((gain(left) + gain(~left) - gain(every) - 1, 1, left))
+    want = max(best, key=lambda b: (b[0], -b[1]))
+    tree = m.trees[0]
+    assert tree.splits[0][0] == want[1] and tree.splits[0][3] == pytest.approx(want[0])
+    rows = spark.createDataFrame([(i, float(x0[i]), None if np.isnan(x1[i]) else float(x1[i])) for i in range(len(y))], "i int, x0 double, x1 double")
+    got = rows.select("i", m.score(lambda f: F.col(f"x{f}")).alias("s")).collect()
+    value = lambda s: tuple(s) if classes else s
+    assert len({value(r.s) for r in got if want[2][r.i]}) == len({value(r.s) for r in got if not want[2][r.i]}) == 1
+    if hessian == "diagonal":
+        a, b = g[want[2]].sum(0), h[want[2]].sum(0)
+        some = next(r.s for r in got if want[2][r.i])
+        assert np.allclose(some if classes else [some], -a / (b + 1))
+
+
+def test_boosted_classes_sampling_and_storage(spark, tmp_path):
+    rng = np.random.Generator(np.random.PCG64(4))
+    entries, y, x0, x1 = _table_of(rng, 300, 3)
+    e = spark.createDataFrame(entries, "row_id long, fid int, value double")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "row_id long, label int")
+    m = boosting.boost(e, labels, "multinomial", rounds=3, depth=3, rate=0.5, classes=3, feature_share=0.9, max_leaves=5)
+    assert m.history[-1] < np.log(3) and all(len(t.leaves) <= 5 for t in m.trees)
+    m.save(spark, str(tmp_path / "model"))
+    again = boosting.BoostedModel.load(spark, str(tmp_path / "model"))
+    rows = spark.createDataFrame([(i, float(x0[i]), None if np.isnan(x1[i]) else float(x1[i]), int(y[i])) for i in range(300)], "i int, x0 double, x1 double, label int")
+    value = lambda f: F.col(f"x{f}")
+    got = rows.select("label", m.score(value).alias("score"), again.score(value).alias("again"), m.predict(value).alias("c")).collect()
+    assert all(list(r.score) == list(r.again) for r in got) and sum(r.c == r.label for r in got) > 200
+    loss = np.mean([np.log(np.exp(r.score).sum()) - r.score[r.label] for r in got])
+    assert loss == pytest.approx(m.history[-1])
+    scored = rows.select("label", m.score(value).alias("score"))
+    assert boosting.metric(scored, "precision", 3) == pytest.approx(np.mean([r.c == r.label for r in got]))
+
+
+def test_trees_after_the_best_round_are_dropped(spark, monkeypatch):
+    df = separable(spark)
+    entries = df.select(F.col("id").alias("row_id"), F.posexplode("features").alias("fid", "value"))
+    losses = iter([0.5, 0.3, 0.4, 0.45, 0.46])
+    monkeypatch.setattr(boosting, "metric", lambda *a: next(losses))
+    m = boosting.boost(entries, df.select(F.col("id").alias("row_id"), "label"), rounds=5, depth=1)
+    assert len(m.trees) == 2 and len(m.history) == 5
+
+
+def test_small_nodes_are_leaves(spark):
+    df = separable(spark)
+    entries = df.select(F.col("id").alias("row_id"), F.posexplode("features").alias("fid", "value"))
+    m = boosting.boost(entries, df.select(F.col("id").alias("row_id"), "label"), rounds=1, depth=4, min_rows=10_000)
+    assert m.trees[0].splits == {} and set(m.trees[0].leaves) == {0}
+
+
 def test_embedding_loss_falls(spark):
     e = two_cliques(spark)
     for order in (1, 2):
