@@ -13,7 +13,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: each is a grouped minimum (combined before the
     shuffle) and a join back, and every round's links are written to the shared folder. Null ends
-    are ignored, repeated links and self links count once; an empty table gives an empty result.
+    are ignored, repeated links and self links count once; an empty table gives an empty result. The number of rounds grows
+    with the logarithm of the longest path; what isn't done after ``max_rounds`` is an error.
     """
     links = (
         links.where("u is not null and v is not null and u <> v")
@@ -43,5 +44,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == (now.n, now.s):
             break
         state = (now.n, now.s)
+    else:
+        raise RuntimeError(f"components aren't complete after {max_rounds} rounds")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.columns import word_count
+from orrery.plans.storage import cut
 
 #: Items of a shard, about; the last bins of a shard are the only ones that wait for more items.
 SHARD_ITEMS = 4096
@@ -89,8 +90,9 @@ def pack(docs: DataFrame, capacity: int = 2048, cluster: Column | None = None, d
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "source", word_count(F.col("text")).alias("words"), key.alias("cluster"))
     pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("words") / capacity) - 1, F.lit(0)).cast("long"))
     rows = rows.withColumn("piece", F.explode(pieces)).withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("piece") * capacity))
-    n = docs.count()
-    shards = max(1, -(-n // SHARD_ITEMS))
+    # written, so that its rows can be counted: one very long text makes many
+    rows = cut(rows.drop("words"), "pieces")
+    shards = max(1, -(-rows.count() // SHARD_ITEMS))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "cluster", "piece"), F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

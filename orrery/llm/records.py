@@ -16,6 +16,8 @@ attempt and renames it when complete: a lost executor leaves at most an unused f
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import unicodedata
 import uuid
@@ -80,13 +82,19 @@ def read_at(source, offset: int) -> tuple[int | None, np.ndarray]:
     return parse(next(frames(source)))
 
 
+# The settings of a tokenizer file under which texts may be cut at blanks and line ends.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class WordEncoder:
     """Ids of texts by the tokenizer of a file, each distinct word encoded once and remembered.
 
-    For tokenizers that lower-case, drop white space and split at the borders between letters and
-    other characters: no token then spans a blank or a line end. Words of letters only are single
+    That holds for tokenizers that lower-case, drop white space and split at the borders between letters and
+    other characters, which is read from their settings: no token then spans a blank or a line end. Words of letters only are single
     pieces and go to the tokenizer's model as such (with their bytes in its byte alphabet); all
-    other words take the tokenizer's whole way.
+    other words take the tokenizer's whole way, and so do whole texts under any other tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -103,9 +111,12 @@ class WordEncoder:
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.known = _Known(self, {})
         self.ends = {c: self._whole([c])[0] for c in ".,"}
+        settings = json.loads(self.tokenizer.to_str())
+        plain_parts = settings["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+        self.apart = settings["normalizer"] == _NORMALIZER and plain_parts and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in settings["added_tokens"])
         # the short way is open only if it gives what the whole way gives
         probe = ["the", "Word", "Über", "éèñß", "x"]
-        self.short = all(self._piece(w) == ids for w, ids in zip(probe, self._whole(probe), strict=True))
+        self.short = self.apart and all(self._piece(w) == ids for w, ids in zip(probe, self._whole(probe), strict=True))
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -137,6 +148,9 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         for t in texts:
+            if not self.apart:
+                yield np.frombuffer(self._whole([t or ""])[0], self.kind)
+                continue
             if len(self.known) > CACHED_WORDS // 2:
                 self.known = _Known(self, dict(self.known))
             words = (t or "").replace("\n", " ").split(" ")

@@ -95,7 +95,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
         .select(
             "items",
             F.size("items").alias("n_items"),
-            F.substring("v", len(_VERDICT) + 1, 1000).alias("verdict"),
+            F.expr(f"substring(v, {len(_VERDICT) + 1})").alias("verdict"),
             (F.col("freq") / F.col("all")).alias("confidence"),
             (F.col("freq") / n).alias("support"),
         )

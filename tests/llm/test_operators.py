@@ -352,6 +352,23 @@ def test_records_round_trip(spark, docs, empty, tmp_path):
     assert records.token_records(spark, empty, PATH).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    texts = ["a quick  brown fox\njumps", "", None, base_text(1, 200), " x\t y "]
+    whole = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [list(ids) for ids in records.encode(texts, path)] == whole
+    assert records.WordEncoder(PATH).apart and records.WordEncoder(PATH).short
+
+
+def test_a_very_long_text_is_dealt_to_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 8)
+    table = spark.createDataFrame([(1, "w " * 30_000, "a"), (2, "v " * 100, "b")], "doc_id long, text string, source string")
+    got = packing.pack(table, capacity=1000).collect()
+    assert len({r.shard for r in got}) == 4 and sum(r["size"] for r in got) == 30_100
+
+
 def test_word_cache_equals_the_tokenizer(monkeypatch):
     monkeypatch.setattr(records, "CACHED_WORDS", 10)
     e = records.WordEncoder(PATH)
