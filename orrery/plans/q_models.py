@@ -370,12 +370,34 @@ def _(t, spark):
     return out.select("query", "id", F.round("distance", 5).alias("distance"), "rank")
 
 
-@query("ann")
-def _(t, spark):
+_DIRECTIONS = lsh.unit_gaussians(16, 64, 1)
+_HASHED = "SELECT vec_id, v, [" + ", ".join(f"CAST(floor(list_sum(list_transform(list_zip(v, {[float(x) for x in r]}), lambda x: x[1] * x[2])) / 0.1) AS BIGINT)" for r in _DIRECTIONS) + "] AS h FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+_FAR = "sqrt(list_sum(list_transform(list_zip(q.v, e.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
+
+
+def _projected(t) -> DataFrame:
     df = t("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    df = df.withColumn("h", lsh.projection(F.col("v"), lsh.unit_gaussians(8, 64, 1), 2.0))
+    return df.withColumn("h", lsh.projection(F.col("v"), _DIRECTIONS, 0.1))
+
+
+@query("ann", f"""WITH e AS ({_HASHED}), q AS (SELECT * FROM e WHERE vec_id % 100 = 0),
+  d AS (SELECT q.vec_id AS query, e.vec_id AS id, {_FAR} AS d FROM q JOIN e ON q.vec_id <> e.vec_id WHERE len(list_filter(range(1, 17), lambda i: q.h[i] = e.h[i])) > 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS r FROM d) SELECT query, id, round(d, 5) AS distance, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 10""")
+def _(t, spark):
+    """Every row whose id is divisible by 100 against all rows."""
+    df = _projected(t)
+    out = lsh.nearest_each(df, df.where("vec_id % 100 = 0"), "vec_id", "h", "v", lsh.euclidean, 10)
+    return out.select("query", "id", F.round("distance", 5).alias("distance"), "rank")
+
+
+@query("ann_multi_probe", f"""WITH e AS ({_HASHED}), q AS (SELECT * FROM e WHERE vec_id = 0),
+  p AS (SELECT e.vec_id, list_min(list_transform(range(1, 17), lambda i: abs(q.h[i] - e.h[i]))) AS p, {_FAR} AS d FROM e, q),
+  m AS (SELECT max(p) AS most FROM (SELECT p FROM p ORDER BY p LIMIT 10)) SELECT vec_id, round(d, 5) AS distance FROM p, m WHERE p <= most ORDER BY d, vec_id LIMIT 10""")
+def _(t, spark):
+    df = _projected(t)
     key = df.where("vec_id = 0").first()
-    return lsh.nearest(df, list(key.h), F.array(*[F.lit(x) for x in key.v]), "h", "v", lsh.euclidean, 10, "vec_id").select("vec_id", "distance")
+    out = lsh.nearest(df, list(key.h), F.array(*[F.lit(x) for x in key.v]), "h", "v", lsh.euclidean, 10, "vec_id", multi_probe=True)
+    return out.select("vec_id", F.round("distance", 5).alias("distance"))
 
 
 # ------------------------------------------------------------------ matrices and random data

@@ -272,3 +272,17 @@ def test_streaming_test_and_ftrl(spark):
         f.update(batch, k)
     w = {r.idx: r.value for r in f.weights().collect()}
     assert w[1] > 0 > w[0]
+
+
+def test_recall_of_the_approximate_search(spark):
+    """Every query of the registered search against brute force: recall of at least 0.9."""
+    from orrery.plans import catalog
+
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    want = set()
+    for q, v in rows:
+        if q % 100 == 0:
+            want |= {(q, i) for _, i in sorted((float(((v - x) ** 2).sum()), i) for i, x in rows if i != q)[:10]}
+    got = {(r.query, r.id) for r in catalog.queries()["ann"](spark, sf).collect()}
+    assert len(got & want) >= 0.9 * len(want)
