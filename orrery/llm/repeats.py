@@ -5,8 +5,7 @@ corpus (smaller doc_id, or the same document and an earlier start). Prefix doubl
 positions by ever longer prefixes, pairing the rank of a position with the rank of a later one,
 and leaves out positions whose rank is unique. Three things keep that affordable over whole corpora:
 
-* ranks are names (64-bit hashes) instead of sorted ordinals, so a reranking round is one grouped
-  minimum and a join, both sorted by Spark;
+* ranks are names (64-bit hashes of bytes, or of the first place that has them) instead of dense ordinals;
 * the first round (32 bytes) ranks anchors only. The anchor of a window of ``length`` bytes is its
   smallest 32-byte name, leftmost on ties, so equal windows have equal anchors at equal offsets,
   and a text has about one anchor for each 35 bytes. Anchors with a unique name drop out together
@@ -22,10 +21,10 @@ round sorts the pairs (rank, rank at the offset), gives positions with equal pai
 first place as their new rank, and drops positions whose pair is unique. Equal windows share their anchor's
 name, so Spark sorts these contexts by it and the rounds run over the names of a batch, on some
 bytes for each window instead of a shuffled row; a name with over MAX_WINDOWS windows is ranked by the same
-rounds over shuffled rows.
+rounds over rows that Spark sorts.
 
-Frequent passages never gather in one task: each round is a grouped minimum or count, combined
-before its shuffle and written, and a join that adaptive execution can split.
+Frequent passages never gather in one task: anchors are ranked by grouped minima and counts, combined
+before their shuffle and written, and joins that adaptive execution can split; sorted pairs are split by their places.
 """
 
 from __future__ import annotations
@@ -48,8 +47,10 @@ FLUSH = 200_000
 _LAST = 2**63 - 1
 #: Repeated anchor names that go to the tasks as a sorted array (32 MB); more are joined.
 FILTER_NAMES = 4_000_000
-#: Windows of one anchor name that are ranked in one task (some 10 MB); names with more are ranked by Spark.
-MAX_WINDOWS = 1 << 16
+#: Windows of one anchor name that are ranked in one task (some 5 MB); names with more are ranked by Spark.
+MAX_WINDOWS = 1 << 15
+#: Windows of a range that one task ranks, about.
+RANGE_ROWS = 250_000
 
 
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -320,18 +321,78 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
     return made.select("doc", "th", "s", F.col("n0").alias("rank"), F.array(*[f"n{j}" for j in range(1, 1 + len(rounds))]).alias("next"))
 
 
+def _ranked(pairs: DataFrame) -> DataFrame:
+    """(doc, th, s, rank, next, later) of the windows of ``pairs`` (rank, at, doc, th, s, next) whose (rank, at) isn't unique:
+    the new rank is named by the first place of the pair, and ``later`` tells all other places.
+
+    Spark sorts the pairs together with their places, so that even one very frequent pair is split over many ranges. A
+    task ranks its range; what the ends of the ranges (a row for each) share is put right afterwards."""
+    own = ["rank", "at", "doc", "th", "s"]
+    ranges = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // RANGE_ROWS))
+
+    def local(batches):
+        from pyspark import TaskContext
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        rank, at = t.column("rank").to_numpy(), t.column("at").to_numpy()
+        new = np.ones(len(rank), bool)
+        new[1:] = (rank[1:] != rank[:-1]) | (at[1:] != at[:-1])
+        start = np.flatnonzero(new)[np.cumsum(new) - 1]
+        n = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+        end = (start == 0) * 1 + (start == start[-1]) * 2
+        for name, x in (("n", n), ("end", end.astype(np.int32)), ("part", np.full(len(rank), TaskContext.get().partitionId(), np.int32))):
+            t = t.append_column(name, pa.array(x))
+        for c in ("doc", "th", "s"):
+            t = t.append_column(f"f_{c}", pa.array(t.column(c).to_numpy()[start]))
+        yield from t.combine_chunks().to_batches(max_chunksize=FLUSH)
+
+    dealt = pairs.select(*own, "next").repartitionByRange(ranges, *own).sortWithinPartitions(*own)
+    schema = "rank long, at long, doc long, th long, s int, next array<long>, n long, end int, part int, f_doc long, f_th long, f_s int"
+    ranked = cut(dealt.mapInArrow(local, schema), "ranked")
+    pair, first = F.struct("rank", "at"), F.struct("f_doc", "f_th", "f_s")
+    ends = ranked.where("end > 0").groupBy("part").agg(F.min(pair).alias("low"), F.max(pair).alias("high"), F.min(F.when(F.col("end") >= 2, first)).alias("first"))
+    before, after, last, carried = {}, set(), None, None
+    for r in ends.orderBy("part").toLocalIterator():  # a row for each range
+        goes_on = last is not None and last.high == r.low
+        if goes_on:
+            before[r.part] = tuple(carried)
+            after.add(last.part)
+        carried = carried if goes_on and r.low == r.high else r.first
+        last = r
+
+    def joined(batches):
+        for b in batches:
+            n, end, part = (_column(b, c).to_numpy() for c in ("n", "end", "part"))
+            f = [_column(b, c).to_numpy().copy() for c in ("f_doc", "f_th", "f_s")]
+            keep = n > 1
+            for p in np.unique(part[end > 0]):
+                if int(p) in before:
+                    rows = (part == p) & (end % 2 == 1)
+                    keep |= rows
+                    for x, value in zip(f, before[int(p)], strict=True):
+                        x[rows] = value
+                if int(p) in after:
+                    keep |= (part == p) & (end >= 2)
+            place = [_column(b, c).to_numpy() for c in ("doc", "th", "s")]
+            later = np.logical_or.reduce([x != y for x, y in zip(place, f, strict=True)])
+            columns = [_column(b, c) for c in ("doc", "th", "s", "next")] + [pa.array(x) for x in (*f, later)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "th", "s", "next", "f_doc", "f_th", "f_s", "later"]).filter(pa.array(keep))
+
+    kept = ranked.mapInArrow(joined, "doc long, th long, s int, next array<long>, f_doc long, f_th long, f_s int, later boolean")
+    return kept.select("doc", "th", "s", F.xxhash64("f_doc", "f_th", "f_s").alias("rank"), "next", "later")
+
+
 def _doubled(windows: DataFrame, length: int) -> DataFrame:
     """(doc, th, s): of ``windows`` (see ``_windows``) those that an earlier one equals. One round for each
     doubling: pairs of ranks are sorted, positions ranked anew by the first place of their pair, and those of a
     unique pair dropped."""
     windows = cut(windows, "windows")
     for j, _ in enumerate(schedule(length)):
-        pairs = windows.withColumn("at", F.get("next", j))
-        ranks = cut(pairs.groupBy("rank", "at").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "s")).alias("f")).where("n > 1").drop("n"), "ranks")
-        ranked = pairs.join(ranks, ["rank", "at"])
-        new = F.xxhash64("f.doc", "f.th", "f.s").alias("rank")
-        kept = cut(ranked.select("doc", "th", "s", new, "next", F.expr("struct(doc, th, s) <> f").alias("later")), "windows")
-        drop_cut(windows, ranks)
+        kept = cut(_ranked(windows.withColumn("at", F.get("next", j))), "windows")
+        drop_cut(windows)
         windows = kept
     return windows.where("later").select("doc", "th", "s")
 

@@ -200,6 +200,24 @@ def test_repeats_of_any_length(spark, monkeypatch, length, windows):
     assert got == want and sum(x[1] for x in want.values()) > 0
 
 
+def test_ranks_across_ranges(spark, monkeypatch):
+    """Pairs that fill several ranges, that end with one and that begin with one."""
+    monkeypatch.setattr(repeats, "RANGE_ROWS", 7)
+    rng = np.random.Generator(np.random.PCG64(6))
+    rows = [(int(r), int(a), i, 0, int(rng.integers(0, 3)), [i]) for i, (r, a) in enumerate(zip(rng.integers(0, 9, 90), rng.integers(0, 4, 90), strict=True))]
+    rows += [(3, 3, 1000 + i, 0, i, [7]) for i in range(60)]
+    got = repeats._ranked(spark.createDataFrame(rows, "rank long, at long, doc long, th long, s int, next array<long>")).collect()
+    groups = {}
+    for r, a, *place, _ in rows:
+        groups.setdefault((r, a), []).append(tuple(place))
+    often = {p: min(many) for many in groups.values() if len(many) > 1 for p in many}
+    assert {(r.doc, r.th, r.s): r.later for r in got} == {p: p != first for p, first in often.items()}
+    ranks = {}
+    for r in got:
+        ranks.setdefault(often[r.doc, r.th, r.s], set()).add(r["rank"])
+    assert all(len(x) == 1 for x in ranks.values()) and len(set.union(*ranks.values())) == len(ranks)
+
+
 def test_doubling_rounds():
     assert repeats.schedule(100) == [(32, 64), (36, 100)]
     assert repeats.schedule(64) == [(32, 64)]
