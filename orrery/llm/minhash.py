@@ -314,7 +314,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, n: int = 5) -> Dat
         pairs = pairs.where("a <> b or ka <> kb").distinct()
         return cut(_confirmed(_plausible(pairs, reps, threshold), sets, threshold), "links")
 
-    centre = members.groupBy("bucket").agg(F.min(F.struct("rep", "k1")).alias("c"))
+    # written, so that the join stands on plain exchanges and a large bucket can be split
+    centre = cut(members.groupBy("bucket").agg(F.min(F.struct("rep", "k1")).alias("c")), "centres")
     to_centre = members.join(centre.select("bucket", F.col("c.rep").alias("b"), F.col("c.k1").alias("kb")), "bucket").select(
         F.col("rep").alias("a"), F.col("k1").alias("ka"), "b", "kb"
     )
