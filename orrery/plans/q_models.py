@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from orrery.functions import vectors as V
 from orrery.operators import boosting as B
 from orrery.operators import embedding as E
+from orrery.operators import embedding_table as ET
 from orrery.operators import graph as G
 from orrery.operators import linear as L
 from orrery.operators import lsh
@@ -309,6 +310,48 @@ def _(t, spark):
     return vectors.join(ids, "idx").select("node", F.size("vector").alias("dim"))
 
 
+def _line_sql(epochs: int, dim: int, negatives: int, rate: float) -> str:
+    def drawn(n: str, *terms: str) -> str:
+        x = f"((1 + {' + '.join(f'({t}) * {p}::BIGINT' for t, p in zip(terms, ET.PRIMES, strict=False))}) % {ET.MODULUS})"
+        for _ in range(2):
+            x = f"((({x}) + 1) * {ET.FACTOR}::BIGINT % {ET.MODULUS})"
+        return f"({x} % {n})"
+
+    first = ", ".join(f"({drawn('1000003', 'idx', str(i), '1')} / 1000003::DOUBLE - 0.5) / {dim}" for i in range(dim))
+    out = f"""WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000 AS dst FROM lineitem), i AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)),
+      n AS (SELECT count(*) AS n FROM i), p AS (SELECT x.idx AS a, y.idx AS b FROM e JOIN i x ON x.node = src JOIN i y ON y.node = dst),
+      a0 AS (SELECT idx, [{first}] AS x FROM i), b0 AS (SELECT idx, [{", ".join(["0.0::DOUBLE"] * dim)}] AS x FROM i)"""
+    for k in range(epochs):
+        means = lambda c: "[" + ", ".join(f"avg(e * {c}[{d + 1}])" for d in range(dim)) + "]"
+        moved = "[" + ", ".join(f"x[{d + 1}] - {rate} * coalesce(g[{d + 1}], 0)" for d in range(dim)) + "]"
+        out += f""", d{k} AS (SELECT a, b, j, n, {drawn("n", "a", "b", "j", str(k))} AS o FROM p, n, range(0, {negatives + 1}) AS r(j)),
+          s{k} AS (SELECT a, CASE WHEN j = 0 THEN b WHEN o = a THEN (o + 1) % n ELSE o END AS c, (j = 0)::INT AS y FROM d{k}),
+          t{k} AS (SELECT a, c, u.x AS u, v.x AS v, 1 / (1 + exp(-({" + ".join(f"u.x[{d + 1}] * v.x[{d + 1}]" for d in range(dim))}))) - y AS e FROM s{k} JOIN a{k} u ON u.idx = a JOIN b{k} v ON v.idx = c),
+          a{k + 1} AS (SELECT idx, {moved} AS x FROM a{k} LEFT JOIN (SELECT a AS idx, {means("v")} AS g FROM t{k} GROUP BY a) USING (idx)),
+          b{k + 1} AS (SELECT idx, {moved} AS x FROM b{k} LEFT JOIN (SELECT c AS idx, {means("u")} AS g FROM t{k} GROUP BY c) USING (idx))"""
+    return out + f" SELECT node, {', '.join(f'round(x[{d + 1}], 6) + 0.0::DOUBLE AS x{d}' for d in range(dim))} FROM a{epochs} JOIN i USING (idx)"
+
+
+@query("line_table", _line_sql(3, 3, 2, 0.5))
+def _(t, spark):
+    """Second-order LINE over all part-supplier edges, with its vectors in tables."""
+    e = t("lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).distinct()
+    ids = cut(G.node_index(e), "ids")
+    dense = e.join(ids.toDF("src", "a"), "src").join(ids.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    vectors, _history = ET.line(cut(dense, "edges"), ids.select("idx"), dim=3, order=2, negatives=2, epochs=3, rate=0.5)
+    return vectors.join(ids, "idx").select("node", *[(F.round(F.get("vector", d), 6) + 0.0).alias(f"x{d}") for d in range(3)])
+
+
+@query("word2vec_table")
+def _(t, spark):
+    """Orders as sentences of all their part keys, skip-gram with its vectors in tables."""
+    lines = t("lineitem").select("l_orderkey", "l_partkey")
+    ids = cut(dense_ids(lines.select(F.col("l_partkey").alias("node")).distinct(), "node", "idx"), "ids")
+    s = lines.join(ids, F.col("l_partkey") == F.col("node")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("idx")).alias("words"))
+    vectors, _history = ET.word2vec(cut(s, "sentences"), ids.select("idx"), window=2, dim=4, negatives=2, epochs=2)
+    return vectors.join(ids, "idx").select("node", *[F.round(F.get("vector", d), 6).alias(f"x{d}") for d in range(4)])
+
+
 def _kmeans_sql(rounds: int) -> str:
     distance = "list_sum(list_transform(list_zip(e.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
     out = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), c0 AS (SELECT vec_id AS cluster, v FROM e WHERE vec_id < 4)"

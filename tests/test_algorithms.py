@@ -286,3 +286,20 @@ def test_recall_of_the_approximate_search(spark):
             want |= {(q, i) for _, i in sorted((float(((v - x) ** 2).sum()), i) for i, x in rows if i != q)[:10]}
     got = {(r.query, r.id) for r in catalog.queries()["ann"](spark, sf).collect()}
     assert len(got & want) >= 0.9 * len(want)
+
+
+def test_pairs_of_a_sentence_and_falling_loss_in_tables(spark):
+    from orrery.operators import embedding_table
+
+    s = spark.createDataFrame([([5, 6, 7, 5],), ([8],), ([],), (None,)], "words array<long>")
+    got = sorted(tuple(r) for r in embedding_table.skipgram_pairs(s, 2).collect())
+    words = [5, 6, 7, 5]
+    assert got == sorted((words[i], words[j]) for i in range(4) for j in range(4) if i != j and abs(i - j) <= 2)
+    edges = two_cliques(spark)
+    ids = spark.range(21).select(F.col("id").alias("idx"))
+    for order in (1, 2):
+        table, losses = embedding_table.line(edges, ids, dim=4, order=order, negatives=2, epochs=5, rate=1.0)
+        assert losses[-1] < losses[0] and table.count() == 21
+    alone = {r.idx: r.vector for r in table.collect()}
+    # a node without edges is only ever a negative: its input vector stays as it was
+    assert np.allclose(alone[15], embedding_table.first_vectors(ids, 4).where("idx = 15").first().vector)
