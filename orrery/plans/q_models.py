@@ -391,7 +391,9 @@ def _(t, spark):
     return s.select("l_orderkey", *[F.get("h", k).alias(f"h{k}") for k in range(3)])
 
 
-@query("minhash_join")
+@query("minhash_join", f"""WITH s AS (SELECT l_orderkey AS k, list_distinct(list(l_partkey)) AS p FROM lineitem GROUP BY 1), h AS (SELECT k, unnest([{", ".join(f"'{i}:' || list_min(list_transform(p, lambda i: ((i + 1) * {a} + {b}) % 2038074743))" for i, (a, b) in enumerate(_COEF))}]) AS h FROM s),
+  j AS (SELECT DISTINCT a.k AS ia, b.k AS ib FROM h a JOIN h b USING (h) WHERE a.k < b.k), d AS (SELECT ia, ib, len(list_intersect(a.p, b.p)) AS m, len(a.p) + len(b.p) AS total FROM j JOIN s a ON a.k = ia JOIN s b ON b.k = ib)
+  SELECT ia, ib, round(1 - m / (total - m), 6) AS distance FROM d WHERE 1 - m / (total - m) < 0.5""")
 def _(t, spark):
     """Every order with its own part keys."""
     s = t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_partkey").alias("p")).withColumn("h", lsh.minhash(F.col("p"), _COEF))
