@@ -42,3 +42,12 @@ def test_quantiles_are_exact_nearest_ranks(spark):
     finally:
         statistics.running_total = real
     assert asked and all(c == ["value", "n"] for c in asked)  # counts of values, no sketch of all rows
+
+
+def test_hyper_anf_goes_on_until_nothing_grows(spark, tmp_path):
+    """A chain of 16 nodes, part and supplier in turn: 15 hops from end to end."""
+    rows = [(k, k // 2 + k % 2, k // 2) for k in range(15)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.node: r.closeness for r in catalog.queries()["hyper_anf"](spark, str(tmp_path)).collect()}
+    assert len(got) == 16
+    assert got[0] == pytest.approx(15 * 16 / 2, rel=0.05)  # 1 + 2 + ... + 15; four hops give 10, ten give 55
